@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import table
-from . import bitslice
+from . import bitslice, encoding, residue
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,7 +18,17 @@ def p1_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bitslice.near_duplicate_classes(table(spark, sf_dir, "combined"))
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoding.damaged_rows(table(spark, sf_dir, "combined"))
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return residue.find_residue(table(spark, sf_dir, "documents")).where("residue").select("doc_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_classes": p1_classes,
+    "p3_found": p3_found,
+    "p10_found": p10_found,
 }
