@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import table
-from . import bitslice, encoding, residue
+from . import bitslice, encoding, mailparts, residue
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,6 +22,10 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding.damaged_rows(table(spark, sf_dir, "combined"))
 
 
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mailparts.reduce_mails(table(spark, sf_dir, "combined")).where(F.size("parts") > 0).select("pos", "new_words")
+
+
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return residue.find_residue(table(spark, sf_dir, "documents")).where("residue").select("doc_id")
 
@@ -30,5 +34,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_classes": p1_classes,
     "p3_found": p3_found,
+    "p7_found": p7_found,
     "p10_found": p10_found,
 }

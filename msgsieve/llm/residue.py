@@ -26,6 +26,8 @@ _FIELDS = (
     r"<%=?[^%\n]{1,60}%>",
     r"<<\s*[A-Za-z][\w .]{0,40}>>",
     r"\*\|[A-Za-z][\w ]{1,40}\|\*",
+    r"(?<![\w%])%(?:\(\w+\))?[sd](?!\w)",
+    r"&lt;\s*[A-Za-z][\w ]{1,40}\s*&gt;",
     r"\[\[\s*[A-Za-z][\w .]{0,40}\]\]",
     r"%%[A-Za-z][\w ]{1,40}%%",
     r"@@[A-Za-z][\w ]{1,40}@@",
@@ -115,7 +117,7 @@ _PIECES = (
     "|javascript|java script|scripts|scripting|js is|noscript|browser is not|जावास्क्रिप्ट|জাভাস্ক্রিপ্ট|ஜாவாஸ்கிரிப்"
     "|forbidden|gone"
 ).split("|")
-_SIGN = re.compile(r"[{$<\[%@_#*]")
+_SIGN = re.compile(r"[{$<\[%@_#*&]")
 
 
 @lru_cache(1)
