@@ -6,6 +6,8 @@ import atexit
 import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,8 +30,23 @@ def get_session(app: str = "msgsieve", master: str | None = None, **conf) -> Spa
     return b.getOrCreate()
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors once, so that workers find it wherever it was imported from."""
+    sc = spark.sparkContext
+    if getattr(sc, "_msgsieve_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    path = os.path.join(tempfile.mkdtemp(prefix="msgsieve-"), "msgsieve.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f"msgsieve/{f.relative_to(root)}")
+    sc.addPyFile(path)
+    sc._msgsieve_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the input tables; every query reads through here."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
