@@ -25,20 +25,13 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..session import materialize
 from ..operators.graph import connected_components
-from .words import common_slots, flatten, is_common, set_hash, word_hashes
+from .words import common_slots, flatten, is_common, mix as _mix, set_hash, verify_sets, word_hashes
 
 BITS = 128
 PLANES_PER_STEP = 32
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _mix(x: np.ndarray, seed: int) -> np.ndarray:
-    x = (x ^ np.uint64(seed * 0x9E3779B97F4A7C15 & (2**64 - 1))) * np.uint64(0xBF58476D1CE4E5B9)
-    x ^= x >> np.uint64(29)
-    x *= np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(32))
-
-
 def odd_sketch(flat: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """(n, 2) uint64: parities of the words' bits."""
     x = _mix(flat.view(np.uint64), 77)
@@ -316,17 +309,6 @@ def similar_sets(
     return verify_sets(pairs, sets, threshold)
 
 
-def verify_sets(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """Keeps the (ha, hb) whose exact Jaccard similarity reaches ``threshold``."""
-    need = pairs.select(F.col("ha").alias("h")).union(pairs.select("hb")).distinct()
-    w = sets.select("h", "words").join(need, "h", "left_semi").dropDuplicates(["h"])
-    both = pairs.join(w.select(F.col("h").alias("ha"), F.col("words").alias("wa")), "ha")
-    both = both.join(w.select(F.col("h").alias("hb"), F.col("words").alias("wb")), "hb")
-    inter = F.size(F.array_intersect("wa", "wb"))
-    sim = inter / (F.size("wa") + F.size("wb") - inter)
-    return both.select("ha", "hb", sim.alias("similarity")).where(F.col("similarity") >= threshold - 1e-12)
-
-
 def near_duplicate_pairs(df: DataFrame, ident: str = "pos", text: str = "text", threshold: float = 0.7, **kw) -> DataFrame:
     """(ident_a, ident_b), a < b: all pairs of rows that are the same or nearly so.
 

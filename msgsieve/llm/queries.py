@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import table
-from . import bitslice, encoding, mailparts, residue
+from . import bitslice, encoding, history, mailparts, residue, winnow
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,6 +22,27 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding.damaged_rows(table(spark, sf_dir, "combined"))
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = winnow.split_overlaps(table(spark, sf_dir, "combined"))
+    return pairs.select(F.least("a", "b").alias("pos_a"), F.greatest("a", "b").alias("pos_b"))
+
+
+def p4_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = table(spark, sf_dir, "combined")
+    return winnow.overlap_report(df.where("split <> 'train'"), winnow.split_overlaps(df))
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return history.seen_before(table(spark, sf_dir, "combined")).select("pos")
+
+
+def p6_new_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df, ingests = table(spark, sf_dir, "combined"), table(spark, sf_dir, "ingests")
+    new = sorted(r[0] for r in ingests.where("state = 'new'").select("ingest_no").collect())
+    accepted = df.join(F.broadcast(ingests.where("state = 'accepted'").select("ingest_no")), "ingest_no", "left_semi")
+    return history.check_new_batches(df, accepted, new)
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mailparts.reduce_mails(table(spark, sf_dir, "combined")).where(F.size("parts") > 0).select("pos", "new_words")
 
@@ -34,6 +55,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_classes": p1_classes,
     "p3_found": p3_found,
+    "p4_found": p4_found,
+    "p4_report": p4_report,
+    "p6_found": p6_found,
+    "p6_new_batches": p6_new_batches,
     "p7_found": p7_found,
     "p10_found": p10_found,
 }
