@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import table
-from . import bitslice, encoding, history, mailparts, residue, winnow
+from . import bitslice, encoding, history, mailparts, pii, residue, winnow
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,6 +32,14 @@ def p4_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnow.overlap_report(df.where("split <> 'train'"), winnow.split_overlaps(df))
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_personal_data(table(spark, sf_dir, "combined")).select("pos", "pii_kind", "pii_key")
+
+
+def p5_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.redact_messages(table(spark, sf_dir, "combined"))
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return history.seen_before(table(spark, sf_dir, "combined")).select("pos")
 
@@ -57,6 +65,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p3_found": p3_found,
     "p4_found": p4_found,
     "p4_report": p4_report,
+    "p5_found": p5_found,
+    "p5_redacted": p5_redacted,
     "p6_found": p6_found,
     "p6_new_batches": p6_new_batches,
     "p7_found": p7_found,
