@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import table
-from . import bitslice, encoding, history, mailparts, pii, residue, winnow
+from . import bitslice, encoding, history, languages, mailparts, pii, residue, winnow
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,6 +18,14 @@ def p1_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bitslice.near_duplicate_classes(table(spark, sf_dir, "combined"))
 
 
+def p2_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return languages.label_languages(table(spark, sf_dir, "combined"), table(spark, sf_dir, "lang_tags"))
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return languages.language_cases(p2_labels(spark, sf_dir))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding.damaged_rows(table(spark, sf_dir, "combined"))
 
@@ -62,6 +70,8 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_classes": p1_classes,
+    "p2_found": p2_found,
+    "p2_labels": p2_labels,
     "p3_found": p3_found,
     "p4_found": p4_found,
     "p4_report": p4_report,
