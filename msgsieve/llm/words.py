@@ -81,3 +81,24 @@ def verify_sets(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFram
     inter = F.size(F.array_intersect("wa", "wb"))
     sim = inter / (F.size("wa") + F.size("wb") - inter)
     return both.select("ha", "hb", sim.alias("similarity")).where(F.col("similarity") >= threshold - 1e-12)
+
+
+def joined_keys(row: np.ndarray, key: np.ndarray, spans: tuple[int, ...] = (3, 8)) -> list[np.ndarray]:
+    """Per span a short hash of that many keys of the row in sequence, from every key on.
+
+    Near the end of a row the last keys are taken, and all keys of a row with
+    fewer. ``row`` is sorted.
+    """
+    n, out = len(row), []
+    start = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1])))
+    end = np.append(start[1:], n)
+    of = np.repeat(np.arange(len(start)), end - start)
+    x = key.view(np.uint64)
+    for span in spans:
+        first = np.maximum(start[of], np.minimum(np.arange(n), end[of] - span))
+        count = np.minimum(span, (end - start)[of])
+        k = np.zeros(n, np.uint64)
+        for j in range(span):
+            k = np.where(j < count, mix(k ^ mix(x[np.minimum(first + j, n - 1)], 41), 43), k)
+        out.append((k >> np.uint64(32)).astype(np.uint32).view(np.int32))
+    return out
