@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import table
-from . import bitslice, encoding, history, languages, mailparts, pii, residue, winnow
+from . import bitslice, encoding, history, languages, mailparts, mixing, packing, pii, residue, winnow
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,6 +63,22 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mailparts.reduce_mails(table(spark, sf_dir, "combined")).where(F.size("parts") > 0).select("pos", "new_words")
 
 
+def p8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "container_specs"))
+
+
+def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.fill_report(p8_pack(spark, sf_dir), table(spark, sf_dir, "container_specs"))
+
+
+def p9_draw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_sources(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_plans"))[0]
+
+
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_sources(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_plans"))[1]
+
+
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return residue.find_residue(table(spark, sf_dir, "documents")).where("residue").select("doc_id")
 
@@ -80,5 +96,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p6_found": p6_found,
     "p6_new_batches": p6_new_batches,
     "p7_found": p7_found,
+    "p8_pack": p8_pack,
+    "p8_fill": p8_fill,
+    "p9_draw": p9_draw,
+    "p9_shares": p9_shares,
     "p10_found": p10_found,
 }
