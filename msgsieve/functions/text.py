@@ -7,6 +7,7 @@ from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, functions as F
+from pyspark.sql.types import StringType
 
 # Invisible characters that are dropped; the joiners ZWJ and ZWNJ are kept.
 INVISIBLE = "﻿​‎‏⁠­"
@@ -58,7 +59,7 @@ HINGLISH_MORE = HINGLISH + (
 ).split()
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfc(s: pd.Series) -> pd.Series:
     """Unicode NFC; Spark has no function for it."""
     return s.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFC", t))

@@ -13,7 +13,7 @@ def model_input(df: DataFrame, text: str = "text", chars: int = 2_000) -> DataFr
 
 def terms_of(kind: str, text: Column) -> Column:
     """Terms of a kind: word (1-2-grams) or char (2-5-grams inside words)."""
-    words = F.regexp_extract_all(F.lower(text), F.lit(r"(?U)\b\w\w+\b"), F.lit(0))
+    words = F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0))
     return with_bigrams(words) if kind == "word" else char_wb(text)
 
 

@@ -13,11 +13,11 @@ NEAR_CHARS = 3_000
 
 
 def near_tokens(text: Column, chars: int | None = NEAR_CHARS) -> Column:
-    """Words of two characters or more of the folded text, digit runs as one 0."""
+    """Words of two letters or digits or more of the folded text; digit runs count as one 0, marks divide words."""
     t = F.regexp_replace(casefold(text), r"(?U)\d+", "0")
     if chars:
         t = F.substring(t, 1, chars)
-    return F.regexp_extract_all(t, F.lit(r"(?U)\b\w\w+\b"), F.lit(0))
+    return F.regexp_extract_all(t, F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0))
 
 
 def with_bigrams(words: Column) -> Column:
@@ -42,11 +42,12 @@ def char_wb(text: Column, low: int = 2, high: int = 5) -> Column:
 
 
 def tfidf(df: DataFrame, ident: str, terms: Column, min_df: int = 1) -> DataFrame:
-    """(doc, term, w): sublinear tf times smooth idf, every document of length 1.
+    """(doc, term, df, w): sublinear tf times smooth idf, every document of length 1.
 
     ln((1+n)/(1+df))+1 and 1+ln(tf); documents without terms have no rows.
+    Terms are carried as 64-bit hashes, which halves what is shuffled.
     """
-    base = df.select(F.col(ident).alias("doc"), terms.alias("terms"))
+    base = df.select(F.col(ident).alias("doc"), F.transform(terms, lambda t: F.xxhash64(t)).alias("terms"))
     n = base.agg(F.count("*").alias("n"))
     tf = base.select("doc", F.explode("terms").alias("term")).groupBy("doc", "term").agg(F.count("*").alias("tf"))
     dfreq = tf.groupBy("term").agg(F.count("*").alias("df")).where(F.col("df") >= min_df)

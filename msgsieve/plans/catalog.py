@@ -242,7 +242,14 @@ def _docs(spark, d):
     return table(spark, d, "documents").where("text is not null").select("doc_id", "text")
 
 
-@query()
+_SIMILAR_SQL = r"""WITH t AS (SELECT doc_id AS doc, regexp_extract_all(substr(regexp_replace(replace(replace(lower(text), 'ß', 'ss'), 'ς', 'σ'), '\p{Nd}+', '0', 'g'), 1, 3000), '[\p{L}\p{N}_][\p{L}\p{N}_]+') AS w FROM documents WHERE text IS NOT NULL),
+  g AS (SELECT doc, unnest(list_concat(w, list_transform(range(1, greatest(len(w), 1)), lambda i: w[i] || ' ' || w[i + 1]))) AS term FROM t), f AS (SELECT doc, term, count(*) AS tf FROM g GROUP BY ALL),
+  d AS (SELECT term, ln((1 + (SELECT count(*) FROM t))::DOUBLE / (1 + count(*))) + 1 AS idf FROM f GROUP BY term), x AS (SELECT doc, term, (1 + ln(tf)) * idf AS x FROM f JOIN d USING (term)),
+  v AS (SELECT doc, term, x / sqrt(sum(x * x) OVER (PARTITION BY doc)) AS w FROM x)
+  SELECT a.doc AS i, b.doc AS j, round(sum(a.w * b.w), 6) AS sim FROM v a JOIN v b ON a.term = b.term AND a.doc < b.doc GROUP BY ALL HAVING sum(a.w * b.w) >= 0.8 - 1e-12"""
+
+
+@query(_SIMILAR_SQL)
 def q_similar_pairs(spark, d):
     return similarity.similar_pairs(_docs(spark, d), "doc_id", "text", 0.8).select("i", "j", F.round("sim", 6).alias("sim"))
 
@@ -501,7 +508,8 @@ def q_first_topic(spark, d):
     return audit.first_topic(table(spark, d, "synthetic_batches"))
 
 
-@query()
+@query(r"""WITH m AS (SELECT batch_key, created_at, batch_no, unnest(messages) AS message, unnest(range(len(messages))) AS i FROM synthetic_batches), k AS (SELECT *, length(trim(coalesce(message, ''))) NOT BETWEEN 15 AND 700 AS bad, trim(regexp_replace(replace(replace(lower(coalesce(message, '')), 'ß', 'ss'), 'ς', 'σ'), '\s+', ' ', 'g')) AS k FROM m),
+  r AS (SELECT *, row_number() OVER (PARTITION BY k, bad ORDER BY created_at, batch_no, batch_key, i) AS r FROM k) SELECT CASE WHEN bad THEN 'length' WHEN r > 1 THEN 'duplicate' END AS reason, count(*) AS rows FROM r GROUP BY 1""")
 def q_load_batches(spark, d):
     return audit.load_batches(table(spark, d, "synthetic_batches")).groupBy("reason").agg(F.count("*").alias("rows"))
 
@@ -549,7 +557,8 @@ def q_nearest(spark, d):
     return retrieval.nearest(q, e).select("vec_id", F.col("rank").cast("long").alias("rank"), "entry_id", F.round("similarity", 6).alias("similarity"), "confident")
 
 
-@query()
+@query(f"""WITH s AS (SELECT q.vec_id, e.vec_id AS entry_id, round({_DOT}, 9) AS similarity FROM embeddings q, embeddings e WHERE q.vec_id >= 25 AND e.vec_id < 25), r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY similarity DESC, entry_id) AS rank FROM s), m AS (SELECT vec_id, bool_or(rank = 1 AND entry_id = vec_id % 25) AS a, bool_or(entry_id = vec_id % 25) AS b FROM r WHERE rank <= 3 GROUP BY vec_id)
+  SELECT count(*) AS n, count(*) FILTER (a)::DOUBLE / count(*) AS top1, count(*) FILTER (b)::DOUBLE / count(*) AS top3 FROM m""")
 def q_hit_rates(spark, d):
     q, e = _kb(spark, d)
     truth = q.select("vec_id", F.pmod("vec_id", F.lit(25)).alias("expected"))
