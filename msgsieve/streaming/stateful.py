@@ -46,8 +46,12 @@ def rate_limit(requests: DataFrame, limit: int, window: float = 60.0, bucket: st
     return ordered.mapInPandas(run, f"{ident} {kind}, accepted boolean, retry_after double")
 
 
-def rate_limit_stream(requests: DataFrame, limit: int, window: float = 60.0, bucket: str = "event_type", client: str = "user_id", ts: str = "ts", ident: str = "event_id") -> DataFrame:
-    """The limiter on a stream: accepted times are the state of a key and time out with the window."""
+def rate_limit_stream(requests: DataFrame, limit: int, window: float = 60.0, bucket: str = "event_type", client: str = "user_id", ts: str = "ts", ident: str = "event_id", evict: bool = True) -> DataFrame:
+    """The limiter on a stream: accepted times are the state of a key and time out with the window.
+
+    A stream that is to end by itself runs without eviction, because open
+    timeouts keep it going.
+    """
     from pyspark.sql.streaming.state import GroupStateTimeout
 
     def run(key, batches, state):
@@ -61,12 +65,13 @@ def rate_limit_stream(requests: DataFrame, limit: int, window: float = 60.0, buc
             ok, wait, times = decide(times, t, limit, window)
             out.append((i, ok, round(wait, 6)))
         state.update((times,))
-        state.setTimeoutDuration(int(window * 1000) + 1)
+        if evict:
+            state.setTimeoutDuration(int(window * 1000) + 1)
         yield pd.DataFrame(out, columns=[ident, "accepted", "retry_after"])
 
     kind = dict(requests.dtypes)[ident]
     cols = requests.select(F.col(bucket).cast("string").alias("b"), F.col(client).cast("string").alias("c"), F.col(ts).cast("timestamp").cast("double").alias("t"), F.col(ident).alias("i"))
-    return cols.groupBy("b", "c").applyInPandasWithState(run, f"{ident} {kind}, accepted boolean, retry_after double", "times array<double>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return cols.groupBy("b", "c").applyInPandasWithState(run, f"{ident} {kind}, accepted boolean, retry_after double", "times array<double>", "append", GroupStateTimeout.ProcessingTimeTimeout if evict else GroupStateTimeout.NoTimeout)
 
 
 def cached_predictions(predictions: DataFrame, lookups: DataFrame, hours: int = 24, key: str = "user_id") -> DataFrame:
@@ -90,8 +95,8 @@ def sessions(events: DataFrame, gap: str = "30 minutes", late: str | None = None
     return g.select("user_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
-def upsert_stream(stream: DataFrame, path: str, key: str, order: str, checkpoint: str):
-    """Latest-wins table of a stream: every micro-batch is merged and written as a new version."""
+def upsert_stream(stream: DataFrame, path: str, key: str, order: str, checkpoint: str, once: bool = False):
+    """Latest-wins table of a stream: every micro-batch is merged and written as a new version; ``once`` ends it with what is there."""
     from ..sources.sinks import upsert
 
     def merge(batch: DataFrame, epoch: int) -> None:
@@ -102,4 +107,5 @@ def upsert_stream(stream: DataFrame, path: str, key: str, order: str, checkpoint
             current = batch.limit(0)
         upsert(current, batch, key, order).write.mode("overwrite").parquet(f"{path}/v{epoch}")
 
-    return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).start()
+    w = stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
+    return (w.trigger(availableNow=True) if once else w).start()
