@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -208,8 +209,8 @@ def repair(text: str | None, prior: np.ndarray, hit: float = 0.95, stray: float
 def _patterns(text: str):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame({"source": pdf["source"].fillna(""), "pattern": [pattern(evidence(t)) for t in pdf[text]]}).groupby(
-                ["source", "pattern"], as_index=False).size().rename(columns={"size": "n"})
+            seen = Counter((s or "", pattern(evidence(t))) for s, t in zip(pdf["source"], pdf[text]))
+            yield pd.DataFrame({"source": pd.Series([k[0] for k in seen], dtype=object), "pattern": pd.Series([k[1] for k in seen], dtype=object), "n": np.array(list(seen.values()), dtype=np.int64)})
 
     return run
 

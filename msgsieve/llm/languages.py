@@ -111,6 +111,8 @@ def fit_language_model(df: DataFrame, tags: DataFrame, ident: str, text: str, la
     parts = []
     for tag in sorted(r[0] for r in tags.where("tag is not null").select("tag").distinct().collect()):
         parts.append(known.where(F.col("tag") == tag).select("tag", order.alias("o"), *names).orderBy("o").limit(per_tag))
+    if not parts:
+        return Crf([])
     sample = parts[0]
     for p in parts[1:]:
         sample = sample.unionByName(p)
@@ -127,6 +129,8 @@ def fit_language_model(df: DataFrame, tags: DataFrame, ident: str, text: str, la
     if not rows:
         return Crf(labels)
     rows, tag_of = _agreeing(rows, tag_of, labels)
+    if not rows:
+        return Crf(labels)
     # Pairs of sentences teach the transitions between languages.
     rng = np.random.default_rng(11)
     mates = rng.integers(0, len(rows), size=len(rows))
@@ -143,6 +147,8 @@ def label_texts(model: Crf, texts: list[str | None], least_words: int = 4, least
     A sentence counts with ``least_words`` words or more and if its best tag has
     ``least_share`` of the marginals; shorter ones join the segment before them.
     """
+    if not model.labels:
+        return [[] for _ in texts]
     cut = [sentences(t) for t in texts]
     margins = model.marginals([[w for s in c for w in s] for c in cut])
     out = []

@@ -42,7 +42,7 @@ def schedule(plans: DataFrame, slots: DataFrame) -> DataFrame:
     w = Window.partitionBy("plan_id").orderBy("source")
     weights = plans.withColumn("high", F.sum("target_share").over(w)).withColumn("total", F.sum("target_share").over(Window.partitionBy("plan_id")))
     last = F.row_number().over(Window.partitionBy("plan_id").orderBy(F.desc("source"))) == 1
-    weights = weights.select("plan_id", "source", ((F.col("high") - F.col("target_share")) / F.col("total")).alias("low"), F.when(last, 1.0).otherwise(F.col("high") / F.col("total")).alias("high"))
+    weights = weights.select("plan_id", "source", F.try_divide(F.col("high") - F.col("target_share"), F.col("total")).alias("low"), F.when(last, 1.0).otherwise(F.try_divide(F.col("high"), F.col("total"))).alias("high"))
     chunk = 1 << 12
     chunks = slots.where("slots > 0").select("plan_id", "slots", F.explode(F.sequence(F.lit(0), F.floor((F.col("slots") - 1) / chunk))).alias("chunk"))
     first = F.col("chunk") * chunk
@@ -82,8 +82,8 @@ def mix_sources(df: DataFrame, plans: DataFrame, ident: str = "doc_id", text: st
     size = ranked.groupBy("plan_id", "source").agg(F.count("*").alias("k"))
     want = p.join(size, ["plan_id", "source"], "left").join(have, "source", "left").join(budget, "plan_id")
     whole = F.sum("target_share").over(Window.partitionBy("plan_id"))
-    want = want.withColumn("wanted", F.when(whole > 0, F.col("target_share") / whole * F.col("budget")).otherwise(0.0))
-    want = materialize(want.withColumn("passes", F.least(F.col("max_repeats").cast("long"), F.ceil(F.col("wanted") / F.col("have")))), "wanted")
+    want = want.withColumn("wanted", F.when(whole > 0, F.try_divide(F.col("target_share"), whole) * F.col("budget")).otherwise(0.0))
+    want = materialize(want.withColumn("passes", F.least(F.col("max_repeats").cast("long"), F.ceil(F.try_divide(F.col("wanted"), F.col("have"))))), "wanted")
     # One row per document and pass; the order of every pass is shuffled anew.
     plan_rows = want.where("have > 0 and passes > 0").select("plan_id", "source", "have", "wanted", F.explode(F.sequence(F.lit(0).cast("long"), F.col("passes") - 1)).alias("use"))
     uses = sized.join(F.broadcast(plan_rows), "source").withColumn("o", F.xxhash64("i", "plan_id", "use", F.lit(seed)))
@@ -99,7 +99,7 @@ def mix_sources(df: DataFrame, plans: DataFrame, ident: str = "doc_id", text: st
     shares = want.join(got, ["plan_id", "source"], "left").select(
         "plan_id", "source", "target_share", "max_repeats", "budget", (F.col("target_share") * F.col("budget")).alias("target_tokens"),
         F.coalesce("got", zero).alias("drawn_tokens"), F.coalesce("uses", zero).alias("uses"), F.coalesce("most_uses", zero).alias("most_uses"),
-        (F.coalesce("got", zero) / F.col("budget")).alias("share_of_budget"),
-        (F.coalesce("got", zero) / F.sum(F.coalesce("got", zero)).over(Window.partitionBy("plan_id"))).alias("actual_share"),
+        F.try_divide(F.coalesce("got", zero), F.col("budget")).alias("share_of_budget"),
+        F.try_divide(F.coalesce("got", zero), F.sum(F.coalesce("got", zero)).over(Window.partitionBy("plan_id"))).alias("actual_share"),
         (F.coalesce(F.col("have"), zero) * F.col("max_repeats") < F.col("wanted")).alias("stopped_short"))
     return draw, shares

@@ -12,11 +12,13 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 from urllib.parse import unquote
 
 import ahocorasick
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
@@ -383,10 +385,12 @@ def find_personal_data(df: DataFrame, ident: str = "pos", text: str = "text_raw"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = [(i, k, key) for i, t in zip(pdf["ident"], pdf["text"]) for _, _, k, key in find_pii(t)]
-            out = pd.DataFrame(rows, columns=[ident, "pii_kind", "pii_key"])
-            out[ident] = out[ident].astype(pdf["ident"].dtype) if len(rows) else pdf["ident"].iloc[:0]
-            yield out.groupby([ident, "pii_kind", "pii_key"], as_index=False).size().rename(columns={"size": "occurrences"})
+            seen: Counter = Counter()
+            for n, t in enumerate(pdf["text"]):
+                for _, _, k, key in find_pii(t):
+                    seen[n, k, key] += 1
+            ids = pdf["ident"].to_numpy()[np.array([k[0] for k in seen], dtype=np.int64)]
+            yield pd.DataFrame({ident: ids, "pii_kind": pd.Series([k[1] for k in seen], dtype=object), "pii_key": pd.Series([k[2] for k in seen], dtype=object), "occurrences": np.array(list(seen.values()), dtype=np.int64)})
 
     kind = dict(df.dtypes)[ident]
     cols = df.select(F.col(ident).alias("ident"), F.col(text).alias("text"))
