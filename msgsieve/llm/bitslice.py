@@ -47,7 +47,7 @@ def odd_sketch(flat: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
-def _min_keys(x: np.ndarray, at: np.ndarray, drop: np.ndarray | np.uint64, bands: int, rows: int, seed: int) -> np.ndarray:
+def min_keys(x: np.ndarray, at: np.ndarray, drop: np.ndarray | np.uint64, bands: int, rows: int, seed: int) -> np.ndarray:
     """(n, bands) keys of ``rows`` minima each; ``drop`` is the shift that sets a word's weight."""
     keys = np.zeros((len(at), bands), np.uint64)
     rng = np.random.default_rng(seed)
@@ -75,7 +75,7 @@ def band_keys(flat: np.ndarray, offsets: np.ndarray, bitmap: np.ndarray, bands:
     common = is_common(flat, bitmap)
     at, n = offsets[:-1], len(offsets) - 1
     # Common words weigh 1/64: the top 6 bits of a rare word's draw are cleared.
-    keys = _min_keys(x, at, np.where(common, np.uint64(32), np.uint64(38)), bands, rows, 20240229)
+    keys = min_keys(x, at, np.where(common, np.uint64(32), np.uint64(38)), bands, rows, 20240229)
     row = np.repeat(np.arange(n), bands)
     lens = np.diff(offsets)
     few = np.add.reduceat(~common, at) < poor * lens
@@ -83,7 +83,7 @@ def band_keys(flat: np.ndarray, offsets: np.ndarray, bitmap: np.ndarray, bands:
         some = np.flatnonzero(few)
         inside = np.repeat(few, lens)
         at2 = np.concatenate(([0], np.cumsum(lens[some])))[:-1]
-        more = _min_keys(x[inside], at2, np.uint64(32), bands, rows + 2, 20240301)
+        more = min_keys(x[inside], at2, np.uint64(32), bands, rows + 2, 20240301)
         keys = np.concatenate([keys.ravel(), more.ravel()])
         row = np.concatenate([row, np.repeat(some, bands)])
     return row, keys.ravel().view(np.int64)
@@ -201,7 +201,7 @@ def _band_rows(bitmap_b, bands: int, rows: int, poor: float, hot_b, sample: int
         for pdf in batches:
             pdf = pdf[pdf["n"] > 0].drop_duplicates("h")
             fresh = [v not in seen for v in pdf["h"]]
-            pdf = pdf[fresh]
+            pdf = pdf[np.array(fresh, dtype=bool)]
             if sample > 1:
                 pdf = pdf[pdf["h"] % sample == 0]
             seen.update(pdf["h"])

@@ -83,11 +83,14 @@ def verify_sets(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFram
     return both.select("ha", "hb", sim.alias("similarity")).where(F.col("similarity") >= threshold - 1e-12)
 
 
-def joined_keys(row: np.ndarray, key: np.ndarray, spans: tuple[int, ...] = (3, 8)) -> list[np.ndarray]:
-    """Per span a short hash of that many keys of the row in sequence, from every key on.
-
-    Near the end of a row the last keys are taken, and all keys of a row with
-    fewer. ``row`` is sorted.
+def joined_keys(row: np.ndarray, key: np.ndarray, spans: tuple[int, int] = (3, 8), low: int = 0, high: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(index, k2, k3): short hashes of three, and of eight keys of the row in sequence, from every key on.
+
+    Near the end of a row the last keys are taken. Eight keys are most of a
+    short row, where one edit would break them all: rows of fewer than ``high``
+    keys keep the three, rows of ``low`` or more have the eight, and those
+    between come with both, so that edited copies of different length still
+    meet. ``row`` is sorted.
     """
     n, out = len(row), []
     start = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1])))
@@ -101,4 +104,6 @@ def joined_keys(row: np.ndarray, key: np.ndarray, spans: tuple[int, ...] = (3, 8
         for j in range(span):
             k = np.where(j < count, mix(k ^ mix(x[np.minimum(first + j, n - 1)], 41), 43), k)
         out.append((k >> np.uint64(32)).astype(np.uint32).view(np.int32))
-    return out
+    size = (end - start)[of]
+    short, long = np.flatnonzero(size < high), np.flatnonzero(size >= low)
+    return np.concatenate([short, long]), np.concatenate([out[0][short], out[0][long]]), np.concatenate([out[0][short] ^ 1, out[1][long]])
