@@ -64,29 +64,20 @@ def min_keys(x: np.ndarray, at: np.ndarray, drop: np.ndarray | np.uint64, bands:
     return keys
 
 
-def band_keys(flat: np.ndarray, offsets: np.ndarray, bitmap: np.ndarray, bands: int, rows: int, poor: float) -> tuple[np.ndarray, np.ndarray]:
-    """(row, key) of every band of every row; every row must hold at least one word.
+def band_keys(flat: np.ndarray, offsets: np.ndarray, bitmap: np.ndarray, bands: int, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, key) of every band of every row, by row; every row must hold at least one word.
 
-    Rows in which fewer than ``poor`` of the words are rare get as many bands
-    again over evenly weighted words, of ``rows`` + 2 minima each: the words of
-    a message with very many copies are common, and only what was edited is rare.
+    Every row gets as many bands again over evenly weighted words, of ``rows`` + 2
+    minima each: the words of a message with very many copies are common, and
+    only what was edited is rare, so that weights alone tell copies apart.
     """
     x = _mix(flat.view(np.uint64), 1)
     common = is_common(flat, bitmap)
     at, n = offsets[:-1], len(offsets) - 1
     # Common words weigh 1/64: the top 6 bits of a rare word's draw are cleared.
     keys = min_keys(x, at, np.where(common, np.uint64(32), np.uint64(38)), bands, rows, 20240229)
-    row = np.repeat(np.arange(n), bands)
-    lens = np.diff(offsets)
-    few = np.add.reduceat(~common, at) < poor * lens
-    if few.any():
-        some = np.flatnonzero(few)
-        inside = np.repeat(few, lens)
-        at2 = np.concatenate(([0], np.cumsum(lens[some])))[:-1]
-        more = min_keys(x[inside], at2, np.uint64(32), bands, rows + 2, 20240301)
-        keys = np.concatenate([keys.ravel(), more.ravel()])
-        row = np.concatenate([row, np.repeat(some, bands)])
-    return row, keys.ravel().view(np.int64)
+    even = min_keys(x, at, np.uint64(32), bands, rows + 2, 20240301)
+    return np.repeat(np.arange(n), 2 * bands), np.concatenate([keys, even], axis=1).ravel().view(np.int64)
 
 
 def _planes(bits: np.ndarray, n: int, width: int) -> np.ndarray:
@@ -191,29 +182,29 @@ def sliced_pairs(key: np.ndarray, ident: np.ndarray, sketch: np.ndarray, size: n
     return np.concatenate(left), np.concatenate(right)
 
 
-_BAND = "key long, h long, s0 long, s1 long, n int"
+_BAND = "key long, h long, s0 long, s1 long, n int, side byte"
 
 
-def _band_rows(bitmap_b, bands: int, rows: int, poor: float, hot_b, sample: int = 1):
+def _band_rows(bitmap_b, bands: int, rows: int, hot_b, sample: int = 1):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bitmap, hot = bitmap_b.value, hot_b.value if hot_b is not None else None
-        seen: set[int] = set()
+        seen: set[tuple[int, int]] = set()
         for pdf in batches:
-            pdf = pdf[pdf["n"] > 0].drop_duplicates("h")
-            fresh = [v not in seen for v in pdf["h"]]
+            pdf = pdf[pdf["n"] > 0].drop_duplicates(["h", "side"])
+            fresh = [v not in seen for v in zip(pdf["h"], pdf["side"])]
             pdf = pdf[np.array(fresh, dtype=bool)]
             if sample > 1:
                 pdf = pdf[pdf["h"] % sample == 0]
-            seen.update(pdf["h"])
+            seen.update(zip(pdf["h"], pdf["side"]))
             if not len(pdf):
                 continue
             flat, offsets, lens = flatten(pdf["words"])
-            idx, k = band_keys(flat, offsets, bitmap, bands, rows, poor)
+            idx, k = band_keys(flat, offsets, bitmap, bands, rows)
             sk = odd_sketch(flat, offsets).view(np.int64)
-            h = pdf["h"].to_numpy()
+            h, side = pdf["h"].to_numpy(), pdf["side"].to_numpy().astype(np.int8)
             if hot is not None and len(hot[0]):
                 k, idx = _spread(k, h[idx], idx, hot)
-            yield pd.DataFrame({"key": k, "h": h[idx], "s0": sk[idx, 0], "s1": sk[idx, 1], "n": lens[idx].astype(np.int32)})
+            yield pd.DataFrame({"key": k, "h": h[idx], "s0": sk[idx, 0], "s1": sk[idx, 1], "n": lens[idx].astype(np.int32), "side": side[idx]})
 
     return run
 
@@ -234,19 +225,33 @@ def _spread(k: np.ndarray, h: np.ndarray, idx: np.ndarray, hot) -> tuple[np.ndar
     return np.concatenate(out_k), np.concatenate(out_i)
 
 
-def _meet(threshold: float, chunk: int = 1 << 16):
+def _meet(threshold: float, cross: bool, chunk: int = 1 << 16):
+    """Pairs of the records of a key; with ``cross`` only of one of side 1 (ha) and one of another side (hb)."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         parts = [p for p in batches if len(p)]
         if not parts:
             return
-        cols = {c: np.concatenate([p[c].to_numpy() for p in parts]) for c in ("key", "h", "s0", "s1", "n")}
+        cols = {c: np.concatenate([p[c].to_numpy() for p in parts]) for c in ("key", "h", "s0", "s1", "n", "side")}
         del parts
-        order = np.lexsort((cols["h"], cols["key"]))
+        # Most keys are one row's alone: they go before the full sort.
+        order = np.argsort(cols["key"])
+        key = cols["key"][order]
+        same = np.concatenate(([False], key[1:] == key[:-1]))
+        order = order[same | np.concatenate((same[1:], [False]))]
+        cols = {c: v[order] for c, v in cols.items()}
+        if not len(order):
+            return
+        order = np.lexsort((cols["side"], cols["h"], cols["key"]))
         cols = {c: v[order] for c, v in cols.items()}
-        key, h = cols["key"], cols["h"]
-        first = np.concatenate(([True], (key[1:] != key[:-1]) | (h[1:] != h[:-1])))
+        key, h, side = cols["key"], cols["h"], cols["side"]
+        first = np.concatenate(([True], (key[1:] != key[:-1]) | (h[1:] != h[:-1]) | (side[1:] != side[:-1])))
         same = np.concatenate(([False], key[1:] == key[:-1]))
         lonely = ~(same | np.concatenate((same[1:], [False])))
+        if cross:
+            new = np.flatnonzero(~same)
+            size, ones = np.diff(np.append(new, len(key))), np.add.reduceat((side == 1).astype(np.int64), new)
+            lonely |= np.repeat((ones == 0) | (ones == size), size)
         keep = np.flatnonzero(first & ~lonely)
         cols = {c: v[keep] for c, v in cols.items()}
         key = cols["key"]
@@ -263,12 +268,17 @@ def _meet(threshold: float, chunk: int = 1 << 16):
             sl = slice(at, end)
             sk = np.stack([cols["s0"][sl], cols["s1"][sl]], axis=1)
             i, j = sliced_pairs(key[sl], cols["h"][sl], sk, cols["n"][sl], threshold)
+            if cross:
+                side, h = cols["side"][sl], cols["h"][sl]
+                apart = ((side[i] == 1) != (side[j] == 1)) & (h[i] != h[j])
+                i, j = i[apart], j[apart]
+                i, j = np.where(side[i] == 1, i, j), np.where(side[i] == 1, j, i)
             found_a.append(cols["h"][sl][i])
             found_b.append(cols["h"][sl][j])
             at = end
         a, b = np.concatenate(found_a), np.concatenate(found_b)
         if len(a):
-            # The records are sorted by h inside a key, so a < b.
+            # The records are sorted by h inside a key, so a < b unless they are ordered by side.
             yield pd.DataFrame({"ha": a, "hb": b}).drop_duplicates()
 
     return run
@@ -281,32 +291,34 @@ def word_sets(df: DataFrame, ident: str, text: str) -> DataFrame:
 
 
 def similar_sets(
-    sets: DataFrame, threshold: float = 0.7, bands: int = 32, rows: int = 3, common_share: float = 0.002, poor: float = 0.2, hot_rows: int = 4096
+    sets: DataFrame, threshold: float = 0.7, bands: int = 32, rows: int = 3, common_share: float = 0.002, hot_rows: int = 4096, cross: bool = False
 ) -> DataFrame:
     """(ha, hb, similarity): pairs of different word sets, ha < hb, verified on the sets.
 
     ``sets`` comes from ``word_sets``, written out. ``bands``/``rows`` fix the
     blocks: two sets whose weighted similarity is s miss each other in all of
-    them with probability (1 - s**rows)**bands; ``poor`` see ``band_keys``. Keys that a sample of the sets
+    them with probability (1 - s**rows)**bands, and two of similarity j in as many evenly weighted ones
+    with (1 - j**(rows + 2))**bands. Keys that a sample of the sets
     shows to hold more than ``hot_rows`` sets are spread over a grid of cells,
     so that no task gets a whole hot key; the sample steers the layout only.
-    Sets without words form no pair.
+    With ``cross``, ``sets`` has a column side, and the result is (ha, hb) of a set ha of
+    side 1 and a set hb of another side, not verified yet. Sets without words form no pair.
     """
     spark = sets.sparkSession
     total = sets.count()
     bitmap = spark.sparkContext.broadcast(common_slots(sets, "words", common_share, total))
-    source = sets.select("h", "words", "n")
+    source = sets.select("h", "words", "n", F.col("side") if cross else F.lit(0).cast("byte").alias("side"))
     sample = max(1, total // 20_000)
     least = max(hot_rows, total // 10_000) / sample
     hot = (
-        source.mapInPandas(_band_rows(bitmap, bands, rows, poor, None, sample), _BAND)
+        source.mapInPandas(_band_rows(bitmap, bands, rows, None, sample), _BAND)
         .groupBy("key").count().where(F.col("count") >= max(least, 8)).toPandas().sort_values("key")
     )
     grid = np.ceil(np.sqrt(hot["count"].to_numpy() * sample / hot_rows)).astype(np.int64) + 1
     hot_b = spark.sparkContext.broadcast((hot["key"].to_numpy(np.int64), grid))
-    cells = source.mapInPandas(_band_rows(bitmap, bands, rows, poor, hot_b), _BAND).repartition("key")
-    pairs = materialize(cells.mapInPandas(_meet(threshold), "ha long, hb long").distinct(), "pairs")
-    return verify_sets(pairs, sets, threshold)
+    cells = source.mapInPandas(_band_rows(bitmap, bands, rows, hot_b), _BAND).repartition("key")
+    pairs = materialize(cells.mapInPandas(_meet(threshold, cross), "ha long, hb long").distinct(), "pairs")
+    return pairs if cross else verify_sets(pairs, sets, threshold)
 
 
 def near_duplicate_pairs(df: DataFrame, ident: str = "pos", text: str = "text", threshold: float = 0.7, **kw) -> DataFrame:

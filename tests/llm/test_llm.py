@@ -215,3 +215,30 @@ def test_mixing(spark):
     rows = draw.toPandas()
     assert rows.groupby(["plan_id", "doc_id"]).size().max() <= 2 and not rows.duplicated(["plan_id", "doc_id", "use_no"]).any()
     assert rows.groupby(["plan_id", "source"]).tokens.sum().to_dict() == {k: v["drawn_tokens"] for k, v in s.items() if v["drawn_tokens"]}
+
+
+def edited(rng, base, edits, tag):
+    t = list(base)
+    for k, at in enumerate(rng.sample(range(len(t)), edits)):
+        t[at] = f"{tag}x{k}"
+    return " ".join(t)
+
+
+def crossing(rows):
+    """Pairs of a train row and a row elsewhere in ``truth``."""
+    side = {r[0]: r[2] for r in rows}
+    return {(a, b) if side[a] == "train" else (b, a) for a, b in truth(rows) if "train" in (side[a], side[b]) and side[a] != side[b]}
+
+
+def test_splits_of_short_and_spread_edits(spark):
+    rng = random.Random(21)
+    rows = []
+    for g in range(60):
+        n, edits = [(10, 1), (7, 1), (14, 2), (20, 3), (30, 5)][g % 5]
+        base = [f"g{g}w{i}" for i in range(n)]
+        rows += [(2 * g, " ".join(base), "train"), (2 * g + 1, edited(rng, base, edits, f"g{g}"), "val")]
+    # The same words in another order share no run.
+    words = [f"m{i}" for i in range(12)]
+    rows += [(500, " ".join(words), "train"), (501, " ".join(words[::-1]), "test")]
+    got = {(r["a"], r["b"]) for r in winnow.split_overlaps(spark.createDataFrame(rows, "pos long, text string, split string")).collect()}
+    assert got == crossing(rows) and len(got) == 61
