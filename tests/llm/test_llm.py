@@ -242,3 +242,14 @@ def test_splits_of_short_and_spread_edits(spark):
     rows += [(500, " ".join(words), "train"), (501, " ".join(words[::-1]), "test")]
     got = {(r["a"], r["b"]) for r in winnow.split_overlaps(spark.createDataFrame(rows, "pos long, text string, split string")).collect()}
     assert got == crossing(rows) and len(got) == 61
+
+
+def test_splits_of_middling_groups(spark):
+    rng = random.Random(22)
+    rows = []
+    for size in (20, 40, 80):
+        base = [f"s{size}w{i}" for i in range(40)]
+        rows += [(1000 * size + i, edited(rng, base, rng.randint(2, 4), f"s{size}c{i}"), "train" if i % 2 else "val") for i in range(size)]
+    got = {(r["a"], r["b"]) for r in winnow.split_overlaps(spark.createDataFrame(rows, "pos long, text string, split string")).collect()}
+    want = crossing(rows)
+    assert got == want and len(want) > 1000
