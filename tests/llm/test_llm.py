@@ -253,3 +253,20 @@ def test_splits_of_middling_groups(spark):
     got = {(r["a"], r["b"]) for r in winnow.split_overlaps(spark.createDataFrame(rows, "pos long, text string, split string")).collect()}
     want = crossing(rows)
     assert got == want and len(want) > 1000
+
+
+def test_history_of_short_texts_and_middling_groups(spark):
+    rng = random.Random(24)
+    rows = []
+    for size in (20, 60):
+        base = [f"s{size}w{i}" for i in range(20)]
+        rows += [(1000 * size + i, edited(rng, base, 3, f"s{size}c{i}"), 1 + i % 3) for i in range(size)]
+        rows.append((1000 * size + 999, " ".join(base), 1))
+    for g in range(60):
+        base = [f"g{g}w{i}" for i in range(7)]
+        rows += [(2 * g, " ".join(base), 1), (2 * g + 1, edited(rng, base, 1, f"g{g}"), 2 + g % 2)]
+    ing = {r[0]: r[2] for r in rows}
+    want = {max(p, key=ing.get) for p in truth(rows) if ing[p[0]] != ing[p[1]]}
+    d = spark.createDataFrame(rows, "pos long, text string, ingest_no int")
+    assert {r["pos"] for r in history.seen_before(d).collect()} == want and len(want) > 100
+    assert {r["pos"] for r in history.check_new_batches(d, d.where("ingest_no = 1"), [2, 3]).collect()} == want
