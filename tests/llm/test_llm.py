@@ -255,6 +255,17 @@ def test_splits_of_middling_groups(spark):
     assert got == want and len(want) > 1000
 
 
+def test_added_rare_words_in_a_hot_group(spark):
+    rng = random.Random(23)
+    base = [f"h{i}" for i in range(20)]
+    rows = [(i, " ".join(base + [f"c{i}x{k}" for k in range(rng.choice([5, 6, 7, 8]))]), "train") for i in range(120)]
+    rows += [(500, " ".join(base), "train")] + [(1000 + i, " ".join(rng.choice(VOCABULARY) for _ in range(30)), "train") for i in range(240)]
+    got = {tuple(r) for r in bitslice.near_duplicate_pairs(spark.createDataFrame(rows, "pos long, text string, split string")).collect()}
+    want = truth(rows)
+    assert {p for p in want if 500 in p} <= got and len(want) == 120
+    assert got == want
+
+
 def test_history_of_short_texts_and_middling_groups(spark):
     rng = random.Random(24)
     rows = []
