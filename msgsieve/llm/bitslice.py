@@ -23,9 +23,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from ..session import materialize
+from ..session import materialize, partitions_for
 from ..operators.graph import connected_components
-from .words import common_slots, flatten, is_common, mix as _mix, set_hash, verify_sets, word_hashes
+from .words import common_words, flatten, is_common, mix as _mix, set_hash, verify_sets, word_hashes
 
 BITS = 128
 PLANES_PER_STEP = 32
@@ -64,7 +64,7 @@ def min_keys(x: np.ndarray, at: np.ndarray, drop: np.ndarray | np.uint64, bands:
     return keys
 
 
-def band_keys(flat: np.ndarray, offsets: np.ndarray, bitmap: np.ndarray, bands: int, rows: int) -> tuple[np.ndarray, np.ndarray]:
+def band_keys(flat: np.ndarray, offsets: np.ndarray, common: np.ndarray, bands: int, rows: int) -> tuple[np.ndarray, np.ndarray]:
     """(row, key) of every band of every row, by row; every row must hold at least one word.
 
     Every row gets as many bands again over evenly weighted words, of ``rows`` + 2
@@ -72,10 +72,10 @@ def band_keys(flat: np.ndarray, offsets: np.ndarray, bitmap: np.ndarray, bands:
     only what was edited is rare, so that weights alone tell copies apart.
     """
     x = _mix(flat.view(np.uint64), 1)
-    common = is_common(flat, bitmap)
+    known = is_common(flat, common)
     at, n = offsets[:-1], len(offsets) - 1
     # Common words weigh 1/64: the top 6 bits of a rare word's draw are cleared.
-    keys = min_keys(x, at, np.where(common, np.uint64(32), np.uint64(38)), bands, rows, 20240229)
+    keys = min_keys(x, at, np.where(known, np.uint64(32), np.uint64(38)), bands, rows, 20240229)
     even = min_keys(x, at, np.uint64(32), bands, rows + 2, 20240301)
     return np.repeat(np.arange(n), 2 * bands), np.concatenate([keys, even], axis=1).ravel().view(np.int64)
 
@@ -185,9 +185,9 @@ def sliced_pairs(key: np.ndarray, ident: np.ndarray, sketch: np.ndarray, size: n
 _BAND = "key long, h long, s0 long, s1 long, n int, side byte"
 
 
-def _band_rows(bitmap_b, bands: int, rows: int, hot_b, sample: int = 1):
+def _band_rows(common_b, bands: int, rows: int, hot_b, sample: int = 1):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bitmap, hot = bitmap_b.value, hot_b.value if hot_b is not None else None
+        common, hot = common_b.value, hot_b.value if hot_b is not None else None
         seen: set[tuple[int, int]] = set()
         for pdf in batches:
             pdf = pdf[pdf["n"] > 0].drop_duplicates(["h", "side"])
@@ -199,7 +199,7 @@ def _band_rows(bitmap_b, bands: int, rows: int, hot_b, sample: int = 1):
             if not len(pdf):
                 continue
             flat, offsets, lens = flatten(pdf["words"])
-            idx, k = band_keys(flat, offsets, bitmap, bands, rows)
+            idx, k = band_keys(flat, offsets, common, bands, rows)
             sk = odd_sketch(flat, offsets).view(np.int64)
             h, side = pdf["h"].to_numpy(), pdf["side"].to_numpy().astype(np.int8)
             if hot is not None and len(hot[0]):
@@ -306,17 +306,19 @@ def similar_sets(
     """
     spark = sets.sparkSession
     total = sets.count()
-    bitmap = spark.sparkContext.broadcast(common_slots(sets, "words", common_share, total))
+    common = spark.sparkContext.broadcast(common_words(sets, "words", common_share, total))
     source = sets.select("h", "words", "n", F.col("side") if cross else F.lit(0).cast("byte").alias("side"))
     sample = max(1, total // 20_000)
     least = max(hot_rows, total // 10_000) / sample
     hot = (
-        source.mapInPandas(_band_rows(bitmap, bands, rows, None, sample), _BAND)
+        source.mapInPandas(_band_rows(common, bands, rows, None, sample), _BAND)
         .groupBy("key").count().where(F.col("count") >= max(least, 8)).toPandas().sort_values("key")
     )
     grid = np.ceil(np.sqrt(hot["count"].to_numpy() * sample / hot_rows)).astype(np.int64) + 1
     hot_b = spark.sparkContext.broadcast((hot["key"].to_numpy(np.int64), grid))
-    cells = source.mapInPandas(_band_rows(bitmap, bands, rows, hot_b), _BAND).repartition("key")
+    cells = source.mapInPandas(_band_rows(common, bands, rows, hot_b), _BAND)
+    # A task holds the keys of its partition at once, so their number follows the input.
+    cells = cells.repartition(partitions_for(spark, total * 2 * bands, 4_000_000), "key")
     pairs = materialize(cells.mapInPandas(_meet(threshold, cross), "ha long, hb long").distinct(), "pairs")
     return pairs if cross else verify_sets(pairs, sets, threshold)
 

@@ -5,8 +5,6 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
-#: Slots of the document-frequency table; a fixed size, whatever the vocabulary.
-SLOTS = 1 << 20
 _EDGES = r"(?U)(?<!\S)[^\p{L}\p{M}\p{N}\s]+|[^\p{L}\p{M}\p{N}\s]+(?!\S)"
 
 
@@ -29,32 +27,67 @@ def set_hash(words: Column) -> Column:
     return F.xxhash64(F.array_sort(words))
 
 
-def common_slots(sets: DataFrame, words: str, share: float, rows: int) -> np.ndarray:
-    """Bitmap over SLOTS of the words that stand in more than ``share`` of the rows.
+def common_words(sets: DataFrame, words: str, share: float, rows: int) -> np.ndarray:
+    """Sorted hashes of the words that stand in more than ``share`` of the rows.
 
-    ``sets`` holds arrays of distinct word hashes. Counts cover all rows and are
-    combined before the shuffle. At most (mean words per row) / ``share`` slots
-    can qualify, so the result that reaches the driver is bounded; a rare word
-    that falls into a common word's slot counts as common, which callers must
-    treat as a matter of order only, never as a reason to drop a row.
+    ``sets`` holds arrays of distinct word hashes. Every word is counted over all
+    rows, combined before the shuffle. At most (mean words per row) / ``share`` words
+    can qualify, whatever the number of rows, so the result that reaches the
+    driver is bounded.
     """
     least = max(2, int(np.ceil(share * rows)))
-    hot = (
-        sets.select(F.explode(words).alias("w"))
-        .groupBy(F.pmod("w", F.lit(SLOTS)).cast("int").alias("slot"))
-        .count()
-        .where(F.col("count") > least)
-        .select("slot")
-    )
-    flags = np.zeros(SLOTS, dtype=bool)
-    found = hot.toPandas()["slot"].to_numpy()
-    flags[found] = True
-    return np.packbits(flags, bitorder="little")
+    hot = sets.select(F.explode(words).alias("w")).groupBy("w").count().where(F.col("count") > least).select("w")
+    return np.sort(hot.toPandas()["w"].to_numpy(np.int64))
 
 
-def is_common(flat: np.ndarray, bitmap: np.ndarray) -> np.ndarray:
-    slot = flat & np.int64(SLOTS - 1)  # pmod for a power of two
-    return (bitmap[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1
+def is_common(flat: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """Which hashes stand in a sorted array."""
+    if not len(common):
+        return np.zeros(len(flat), bool)
+    return common[np.minimum(np.searchsorted(common, flat), len(common) - 1)] == flat
+
+
+def hot_keys(keys: DataFrame, key: str, share: float, least: int, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted keys, counts) of the keys that more than ``least`` rows, and more than ``share`` of all, hold.
+
+    At most (mean keys per row) / ``share`` keys can qualify, whatever the number of rows.
+    """
+    found = keys.groupBy(key).count().where(F.col("count") > max(least, int(share * rows))).toPandas().sort_values(key)
+    return found[key].to_numpy(np.int64), found["count"].to_numpy(np.int64)
+
+
+def split_hot(row: np.ndarray, key: np.ndarray, flat: np.ndarray, offsets: np.ndarray, hot: np.ndarray, bands: int = 8, minima: int = 4) -> tuple[np.ndarray, np.ndarray]:
+    """(index into ``row``, key): keys outside ``hot`` as they are, hot ones ``bands`` times.
+
+    A piece of text that very many rows hold says little, so rows meet under it
+    only where they also agree in the rest: every band joins the key with
+    ``minima`` smallest hashes of the row's own words. Two rows of similarity j
+    miss each other under a hot key with probability (1 - j**minima)**bands, drawn anew for every key.
+    """
+    on = is_common(key, hot)
+    cold, at = np.flatnonzero(~on), np.flatnonzero(on)
+    if not len(at):
+        return cold, key[cold]
+    out_i, out_k = [cold], [key[cold]]
+    # Bounded pieces: a hot key of a long row reads all its words.
+    size = np.diff(offsets)[row[at]]
+    cuts = np.unique(np.searchsorted(np.cumsum(size), np.arange(0, int(size.sum()) + (1 << 20), 1 << 20)))
+    for lo, hi in zip(cuts, [*cuts[1:], len(at)]):
+        i, n = at[lo:hi], size[lo:hi]
+        if not len(i):
+            continue
+        first = np.cumsum(n) - n
+        word = np.repeat(offsets[row[i]] - first, n) + np.arange(int(n.sum()))
+        own = mix(key[i].view(np.uint64), 47)
+        x = mix(flat[word].view(np.uint64) ^ np.repeat(own, n), 5)
+        for b in range(bands):
+            k = own ^ np.uint64(b + 1)
+            for m in range(minima):
+                y = mix(x, 100 + b * minima + m)
+                k = mix(k ^ np.minimum.reduceat(y, first), 7)
+            out_i.append(i)
+            out_k.append(k.view(np.int64))
+    return np.concatenate(out_i), np.concatenate(out_k)
 
 
 def flatten(arrays) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -81,29 +114,3 @@ def verify_sets(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFram
     inter = F.size(F.array_intersect("wa", "wb"))
     sim = inter / (F.size("wa") + F.size("wb") - inter)
     return both.select("ha", "hb", sim.alias("similarity")).where(F.col("similarity") >= threshold - 1e-12)
-
-
-def joined_keys(row: np.ndarray, key: np.ndarray, spans: tuple[int, int] = (3, 8), low: int = 0, high: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(index, k2, k3): short hashes of three, and of eight keys of the row in sequence, from every key on.
-
-    Near the end of a row the last keys are taken. Eight keys are most of a
-    short row, where one edit would break them all: rows of fewer than ``high``
-    keys keep the three, rows of ``low`` or more have the eight, and those
-    between come with both, so that edited copies of different length still
-    meet. ``row`` is sorted.
-    """
-    n, out = len(row), []
-    start = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1])))
-    end = np.append(start[1:], n)
-    of = np.repeat(np.arange(len(start)), end - start)
-    x = key.view(np.uint64)
-    for span in spans:
-        first = np.maximum(start[of], np.minimum(np.arange(n), end[of] - span))
-        count = np.minimum(span, (end - start)[of])
-        k = np.zeros(n, np.uint64)
-        for j in range(span):
-            k = np.where(j < count, mix(k ^ mix(x[np.minimum(first + j, n - 1)], 41), 43), k)
-        out.append((k >> np.uint64(32)).astype(np.uint32).view(np.int32))
-    size = (end - start)[of]
-    short, long = np.flatnonzero(size < high), np.flatnonzero(size >= low)
-    return np.concatenate([short, long]), np.concatenate([out[0][short], out[0][long]]), np.concatenate([out[0][short] ^ 1, out[1][long]])
