@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -36,7 +37,9 @@ def ship(spark: SparkSession) -> None:
     if getattr(sc, "_msgsieve_shipped", False):
         return
     root = Path(__file__).resolve().parent
-    path = os.path.join(tempfile.mkdtemp(prefix="msgsieve-"), "msgsieve.zip")
+    folder = tempfile.mkdtemp(prefix="msgsieve-")
+    atexit.register(shutil.rmtree, folder, True)
+    path = os.path.join(folder, "msgsieve.zip")
     with zipfile.ZipFile(path, "w") as z:
         for f in sorted(root.rglob("*.py")):
             z.write(f, f"msgsieve/{f.relative_to(root)}")
@@ -50,15 +53,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def partitions_for(spark: SparkSession, rows: int, per: int) -> int:
+    """Shuffle partitions so that each gets about ``per`` of ``rows``, never fewer than the session's."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // per))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir``, else a local one.
 
-    The fallback is only used where the session names no folder (tests, a
-    single machine); a cluster is expected to set it.
+    Only a local master may leave the folder unset (tests, a single machine);
+    on a cluster a machine-local folder would lose tables with its machine, so that is an error.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if d:
         return d.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     d = os.path.join(tempfile.gettempdir(), "msgsieve-shared")
     os.makedirs(d, exist_ok=True)
     spark.conf.set("spark.checkpoint.dir", f"file://{d}")
@@ -77,11 +87,21 @@ def _drop(spark: SparkSession, path: str) -> None:
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Cuts the lineage: writes ``df`` to the shared folder and reads it back.
 
-    The table survives the loss of executors and is removed when the driver
-    ends. Parquet keeps column pruning for the readers.
+    The table survives the loss of executors. It is removed by ``release``, at the
+    latest when the driver ends. Parquet keeps column pruning for the readers.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/msgsieve/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(_drop, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def release(*tables: DataFrame | None) -> None:
+    """Removes written tables that no later plan reads; other DataFrames are left alone."""
+    for df in tables:
+        path = getattr(df, "_written_to", None)
+        if path:
+            _drop(df.sparkSession, path)
