@@ -1,11 +1,12 @@
 """Personal information in free text, found by anchor expansion (problem 5).
 
-One Aho-Corasick pass over a text finds the anchors: at-signs and their
-disguises, captions of identities, street words, titles, mail headers, phrases
-that present a person, and given names; digit runs are the anchors of phone
-numbers. From every anchor a deterministic local parser walks to the value's
-bounds and validates it. Values are reported with a normal form per kind, and
-the text keeps everything else around typed placeholders.
+One Aho-Corasick pass over a text finds all anchors: at-signs and their
+disguises, schemes and the slashes of links, captions of identities, house and
+street words, titles, mail headers, phrases that present a person, and given
+names. From every anchor a deterministic local parser walks to the value's bounds and
+validates it. Only phone numbers and identity numbers without a caption have no sign of their own:
+their anchors are runs of digits in the shapes that such numbers have. Values are reported
+with a normal form per kind, and the text keeps everything else around typed placeholders.
 """
 
 from __future__ import annotations
@@ -47,12 +48,13 @@ _NOT_LAST = set(
 )
 
 # Captions of identity, tax, passport, card and account numbers.
-_ID_CUE = (
-    r"aadhaar|aadhar|adhar|uidai|uid|identity|national id|id (?:card|proof)|pan(?: card)?|passport|pasaporte|dni|nie|nif|tax id|tin|ssn|voter id|epic|driving licen[cs]e|licen[cs]e"
-    r"|documento|cuenta|tarjeta|(?:debit |credit |atm )?card|a/c|acct|account|iban|ration card|khata|आधार|पैन|पासपोर्ट|खाता|কার্ড|আধার|ஆதார்"
-)
-_ID_AFTER = re.compile(
-    rf"(?<![\w])(?:{_ID_CUE})(?:\s*(?:number|numero|número|num|no|nr|id|#|नंबर|संख्या|সংখ্যা|எண்))?\s*[.:#!=-]*\s*(?:is\s+|hai\s+|es\s+)?"
+_ID_CUES = (
+    "aadhaar|aadhar|adhar|uidai|uid|identity|national id|id card|id proof|pan card|pan|passport|pasaporte|dni|nie|nif|tax id|tin|ssn|voter id|epic|driving license|driving licence"
+    "|license|licence|documento|cuenta|tarjeta|debit card|credit card|atm card|card|a/c|acct|account|iban|ration card|khata|आधार|पैन|पासपोर्ट|खाता|কার্ড|আধার|ஆதார்"
+).split("|")
+_ID_CUE = "|".join(map(re.escape, _ID_CUES))
+_ID_VALUE = re.compile(
+    r"(?:\s*(?:number|numero|número|num|no|nr|id|#|नंबर|संख्या|সংখ্যা|எண்))?\s*[.:#!=-]*\s*(?:is\s+|hai\s+|es\s+)?"
     r"([A-Za-z]{0,5}\d[\dA-Za-z]*(?:[ -]\d[\dA-Za-z]*)*(?:[ -]?[A-Za-z](?![\w]))?)",
     re.I,
 )
@@ -76,10 +78,15 @@ _OTHER_NUMBER = re.compile(
 
 _LOCAL = r"[A-Za-z0-9][A-Za-z0-9._%+-]*"
 _DOMAIN = rf"[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:(?:\.|\s?(?:\[dot\]|\(dot\)|\{{dot\}}| dot )\s?)[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)+"
-_AT = r"(?:@|＠|\s?(?:\[at\]|\(at\)|\{at\}|<at>|\[arroba\]|\(arroba\))\s?|%40|&#64;|\s@\s|\s@|@\s)"
-_EMAIL_WORDS = re.compile(rf"({_LOCAL})\s(?:at|arroba)\s([A-Za-z0-9-]+(?:\s(?:dot|punto)\s[A-Za-z0-9-]+)+)", re.I)
+# The at-sign and its disguises, and the schemes that lead to contact data.
+_AT_SIGNS = ("@", "＠", "[at]", "(at)", "{at}", "<at>", "[arroba]", "(arroba)", "{arroba}", "%40", "&#64;")
+_SPOKEN = (" at ", " arroba ")
+_SCHEMES = ("http://", "https://", "www.")
+_DIAL = ("wa.me/", "tel:", "callto:", "phone=")
+_SPOKEN_DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\s(?:dot|punto)\s[A-Za-z0-9-]+)+", re.I)
 
 _URL = re.compile(r"(?:https?://|www\.)[^\s<>\"'।]+|(?<![\w@.])(?:[a-z0-9-]+\.)+[a-z]{2,}/[^\s<>\"'।]*", re.I)
+_DIALLED = re.compile(r"\+?\d{10,13}")
 _PARAM = re.compile(r"[?&;]([\w.-]+)=([^&;#\s]+)")
 # Names of link parameters that carry contact data.
 _PHONE_PARAMS = {"tel", "phone", "mobile", "mob", "msisdn", "whatsapp", "cell", "contact", "ph", "number", "telefono", "movil"}
@@ -97,28 +104,42 @@ def _mail_key(local: str, domain: str) -> str | None:
     return f"{local}@{d}".lower()
 
 
-_ANCHOR = re.compile(_AT, re.I)
-_LOCAL_END = re.compile(rf"{_LOCAL}$")
+_LOCAL_CHARS = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN_START = re.compile(_DOMAIN, re.I)
 
 
-def find_emails(text: str) -> list[tuple[int, int, str]]:
+def _local_before(text: str, end: int) -> str:
+    """The longest local part of a mail address that ends here."""
+    s = end
+    while s and text[s - 1] in _LOCAL_CHARS:
+        s -= 1
+    while s < end and not text[s].isalnum():
+        s += 1
+    return text[s:end]
+
+
+def find_emails(text: str, found: Anchors) -> list[tuple[int, int, str]]:
     out = []
-    for m in _ANCHOR.finditer(text):
-        left = _LOCAL_END.search(text, max(0, m.start() - 80), m.start())
-        right = _DOMAIN_START.match(text, m.end())
-        if not left or not right:
+    for s, e, sign in found[AT]:
+        left, right = s, e
+        spaced = left and text[left - 1].isspace()
+        if spaced and sign not in ("%40", "&#64;"):
+            left -= 1
+        if right < len(text) and text[right].isspace() and (spaced or len(sign) > 1) and sign not in ("%40", "&#64;"):
+            right += 1
+        local, domain = _local_before(text, left), _DOMAIN_START.match(text, right)
+        if not local or not domain:
             continue
-        local = left.group()
-        if m.group() == "%40":
+        if sign == "%40":
             local = re.split(r"[=&?/%:]", local)[-1]
-        key = _mail_key(local, right.group())
+        key = _mail_key(local, domain.group())
         if key:
-            out.append((left.end() - len(local), right.end(), key))
-    for m in _EMAIL_WORDS.finditer(text) if " dot " in text or " punto " in text else ():
-        key = _mail_key(m.group(1), m.group(2))
+            out.append((left - len(local), domain.end(), key))
+    for s, e, _ in found[SPOKEN]:
+        local, domain = _local_before(text, s), _SPOKEN_DOMAIN.match(text, e)
+        key = _mail_key(local, domain.group()) if local and domain else None
         if key:
-            out.append((m.start(), m.end(), key))
+            out.append((s - len(local), domain.end(), key))
     return out
 
 
@@ -167,9 +188,12 @@ def find_phones(text: str) -> list[tuple[int, int, str]]:
     return out
 
 
-def find_ids(text: str) -> list[tuple[int, int, str]]:
+def find_ids(text: str, found: Anchors) -> list[tuple[int, int, str]]:
     out = []
-    for m in _ID_AFTER.finditer(text):
+    for s, e, _ in found[CUE]:
+        m = _ID_VALUE.match(text, e) if not s or not _is_word(text[s - 1]) else None
+        if not m:
+            continue
         raw = m.group(1)
         if _CODED.match(raw) or _DATE.match(raw):
             continue
@@ -214,28 +238,53 @@ _ADDRESSES = (
 )
 
 
-# Pieces of which every address form holds one, in lower case.
-_ADDRESS_PIECES = (
-    "flat", "plot", "house", "door", "shop", "villa", "apartment", "apt", "unit", "room", "block", "quarter", "bungalow", "h.no", "h no", "h. no", "hno", "d.no", "street", " st", "road",
-    " rd", "lane", " ln", "avenue", " ave", " av", "boulevard", "blvd", "drive", "marg", "salai", "gali", "galli", "chowk", "bazaar", " path", " way", "court", "terrace", "calle", "c/", "avda",
-    "avenida", "paseo", "plaza", "pza", "camino", "carrer",
+# Words before or inside the first part of an address, in lower case.
+_HOUSES = ("flat", "plot", "house", "door", "shop", "villa", "apartment", "apt", "unit", "room", "block", "quarter", "bungalow", "h.no", "h no", "h. no", "h .no", "h . no", "hno", "d.no.")
+_STREETS = (
+    "street", "st", "road", "rd", "lane", "ln", "avenue", "ave", "av", "boulevard", "blvd", "drive", "marg", "salai", "gali", "galli", "chowk", "bazaar", "path", "way", "court", "terrace",
 )
-_INDIC_PIECES = ("फ्लैट", "फ्लॅट", "मकान", "घर", "प्लॉट", "दुकान", "मार्ग", "रोड", "गली", "सड़क", "पथ", "ফ্ল্যাট", "বাড়ি", "রোড", "সড়ক", "গলি", "வீடு", "பிளாட்", "தெரு", "சாலை")
-
-
-def find_addresses(text: str) -> list[tuple[int, int, str]]:
-    low = text.lower()
-    latin, indic = any(p in low for p in _ADDRESS_PIECES), any(p in text for p in _INDIC_PIECES)
+_CALLES = ("calle", "c/", "avda", "avenida", "paseo", "plaza", "pza", "camino", "carrer")
+_INDIC_HOUSES = ("फ्लैट", "फ्लॅट", "मकान", "घर", "प्लॉट", "दुकान", "ফ্ল্যাট", "বাড়ি", "வீடு", "பிளாட்")
+_INDIC_STREETS = ("मार्ग", "रोड", "गली", "सड़क", "पथ", "রোড", "সড়ক", "গলি", "தெரு", "சாலை")
+_NUM_AT = re.compile(rf"(?<![\w.,/-]){_NUM} ")
+_PART_END = re.compile(r"[,\n।.]")
+
+
+def _house_numbers(text: str, s: int, words: int) -> list[int]:
+    """Where a house number starts at most ``words`` words before a street word at ``s``."""
+    at = s
+    for _ in range(words + 1):
+        cut = text.rfind(" ", 0, max(0, at - 1))
+        if cut < 0:
+            at = 0
+            break
+        at = cut + 1
+    return [m.start() for m in _NUM_AT.finditer(text, at, s)]
+
+
+def find_addresses(text: str, found: Anchors) -> list[tuple[int, int, str]]:
+    starts: list[tuple[int, int]] = []
+    for form, kind in ((0, HOUSE), (4, CALLE), (5, INDIC_HOUSE)):
+        starts += [(form, s) for s, _, _ in found[kind]]
+    for s, e, _ in found[STREET]:
+        if (s and _is_word(text[s - 1])) or (e < len(text) and _is_word(text[e])):
+            continue
+        starts += [(form, n) for n in _house_numbers(text, s, 3) for form in (1, 2, 3)]
+    for s, _, _ in found[INDIC_STREET]:
+        part = max((m.end() for m in _PART_END.finditer(text, max(0, s - 40), s)), default=max(0, s - 40))
+        starts += [(6, m.start()) for m in _NUM_AT.finditer(text, part, s)]
     out: list[tuple[int, int, str]] = []
-    for p in (_ADDRESSES[:5] if latin else ()) + (_ADDRESSES[5:] if indic else ()):
-        for m in p.finditer(text):
-            s, e = m.span()
-            if any(s < b and a < e for a, b, _ in out):
-                continue
-            body = re.sub(r"(?<=\d)(?:st|nd|rd|th)\b", "", m.group(), flags=re.I)
-            key = _digits(body.translate({0xBA: None, 0xAA: None}))
-            if key:
-                out.append((s, e, key))
+    for form, at in sorted(set(starts)):
+        m = _ADDRESSES[form].match(text, at)
+        if not m:
+            continue
+        s, e = m.span()
+        if any(s < b and a < e for a, b, _ in out):
+            continue
+        body = re.sub(r"(?<=\d)(?:st|nd|rd|th)\b", "", m.group(), flags=re.I)
+        key = _digits(body.translate({0xBA: None, 0xAA: None}))
+        if key:
+            out.append((s, e, key))
     return out
 
 
@@ -254,15 +303,51 @@ _INITIAL_AFTER = re.compile(
 )
 
 
+# Titles, header fields and phrases after which a person's name stands.
+_TITLES = ("mr", "mrs", "ms", "dr", "prof", "shri", "smt", "sr", "sra")
+_HEADS = ("from:", "to:", "cc:", "de:", "para:", "von:")
+_PRESENTS = ("my name is ", "signed by ", "spoke to ", "ask for ", "mi nombre es ", "me llamo ", "pregunte por ", "hablé con ", "mera naam ", "mera naam hai ")
+# Words that stand after a title, a header or such a phrase without being a name.
+_NO_NAME = set(
+    "customer client sir madam user member team friend friends all colleague colleagues parent student applicant candidate subscriber resident valued account sender receiver help support service services "
+    "care billing sales security info admin office desk department manager president chairman minister officer director general undisclosed recipients my your our new good".split()
+)
+AT, SPOKEN, SCHEME, DIAL, SLASH, CUE, HOUSE, STREET, CALLE, INDIC_HOUSE, INDIC_STREET, TITLE, HEAD, PRESENT, NAME = range(15)
+Anchors = list[list[tuple[int, int, str]]]
+_ANCHORS = {
+    AT: _AT_SIGNS, SPOKEN: _SPOKEN, SCHEME: _SCHEMES, DIAL: _DIAL, SLASH: ("/",), CUE: _ID_CUES, HOUSE: _HOUSES, STREET: _STREETS, CALLE: _CALLES, INDIC_HOUSE: _INDIC_HOUSES,
+    INDIC_STREET: _INDIC_STREETS, TITLE: _TITLES, HEAD: _HEADS, PRESENT: _PRESENTS, NAME: (*_GIVEN, *_GIVEN_INDIC),
+}
+
+
 @lru_cache(1)
-def _names() -> ahocorasick.Automaton:
+def _automaton() -> ahocorasick.Automaton:
+    kinds: dict[str, list[int]] = {}
+    for kind, words in _ANCHORS.items():
+        for w in dict.fromkeys(words):
+            kinds.setdefault(w, []).append(kind)
     auto = ahocorasick.Automaton()
-    for n in {*_GIVEN, *_GIVEN_INDIC}:
-        auto.add_word(n, n)
+    for w, k in kinds.items():
+        auto.add_word(w, (w, tuple(k)))
     auto.make_automaton()
     return auto
 
 
+def lower_same(text: str) -> str:
+    """Lower case without a change of any position."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+
+
+def find_anchors(text: str) -> Anchors:
+    """Per kind the (start, end, word) of all anchors, from one pass of the automaton."""
+    found: Anchors = [[] for _ in _ANCHORS]
+    for end, (word, kinds) in _automaton().iter(lower_same(text)):
+        for k in kinds:
+            found[k].append((end + 1 - len(word), end + 1, word))
+    return found
+
+
 _TITLE = re.compile(r"(?:^|[^\w])(?:mr|mrs|ms|dr|sr|sra|prof|shri|smt)\.$")
 _LAST = re.compile(rf"[ \t]+(?:([A-Za-z])\.?[ \t]+)?([^\W\d_]{{2,}}(?:[’'-][^\W\d_]+)*|{_INDIC})(?![\w@])")
 
@@ -271,14 +356,32 @@ def _is_word(c: str) -> bool:
     return c.isalnum() or c == "_" or unicodedata.category(c)[0] == "M"
 
 
-def find_persons(text: str) -> list[tuple[int, int, str]]:
+_FULL = re.compile(r"\.?[ \t]+((?:[A-Z]\.?[ \t]+)?[A-Z][a-z’'-]{1,}(?:[ \t]+[A-Z]\.)?[ \t]+[A-Z][a-z’'-]{2,})(?![\w@])")
+_HEAD_END = re.compile(r"\s*(?:<|&lt;|\n|$)")
+
+
+def _presented(text: str, found: Anchors) -> list[tuple[int, int, str]]:
+    """Names of any kind after a title, in a header of a mail, or where a person is presented."""
     out = []
-    low = text.lower()
-    if len(low) != len(text):
-        low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
-    for end, name in _names().iter(low):
-        e = end + 1
-        s = e - len(name)
+    for kind in (TITLE, HEAD, PRESENT):
+        for s, e, word in found[kind]:
+            if s and _is_word(text[s - 1]):
+                continue
+            m = _FULL.match(text, e - 1 if word.endswith(" ") else e)
+            if not m or (kind == HEAD and not _HEAD_END.match(text, m.end())):
+                continue
+            parts = [p.strip(".").lower() for p in m.group(1).split()]
+            nxt = re.match(r"[ \t]+([^\W\d_]+)", text[m.end() :])
+            if {*parts} & (_NOT_LAST | _NO_NAME | _FIRM) or (nxt and nxt.group(1).lower() in _FIRM):
+                continue
+            out.append((m.start(1), m.end(1), " ".join(parts)))
+    return out
+
+
+def find_persons(text: str, found: Anchors) -> list[tuple[int, int, str]]:
+    out = []
+    low = lower_same(text)
+    for s, e, _ in found[NAME]:
         if s and (_is_word(text[s - 1]) or text[s - 1] in "@+%=" or text[s - 1] == "." and not _TITLE.search(low, max(0, s - 6), s)):
             continue
         if e < len(text) and (_is_word(text[e]) or text[e] in "@._+-" and e + 1 < len(text) and _is_word(text[e + 1])):
@@ -304,6 +407,7 @@ def find_persons(text: str) -> list[tuple[int, int, str]]:
             continue
         parts = [first, m.group(1), last] if m.group(1) else [first, last]
         out.append((s, m.end(2), " ".join(parts).lower()))
+    out += [f for f in _presented(text, found) if not any(a < f[1] and f[0] < b for a, b, _ in out)]
     for p in (_INITIAL, _INITIAL_LOW):
         for m in p.finditer(text):
             if m.group(2).lower() in _NOT_LAST or len(m.group(2)) < 4:
@@ -318,14 +422,31 @@ def find_persons(text: str) -> list[tuple[int, int, str]]:
 _FIRM = set("bank pay wallet mart retail telecom broadband insurance mutual finance credit power electric logistics courier cargo ltd limited street road lane avenue marg nagar colony temple".split())
 
 
-def find_in_links(text: str) -> list[tuple[int, int, str, str]]:
+def link_spans(text: str, found: Anchors) -> list[tuple[int, int]]:
+    """(start, end) of the links: from a scheme onward, or from a slash back to the start of its host."""
+    starts = {s for s, _, _ in found[SCHEME]}
+    for s, _, _ in found[SLASH]:
+        at = s
+        while at and (text[at - 1].isalnum() and text[at - 1].isascii() or text[at - 1] in ".-"):
+            at -= 1
+        if at < s:
+            starts.add(at)
+    out: list[tuple[int, int]] = []
+    for s in sorted(starts):
+        m = _URL.match(text, s) if not out or s >= out[-1][1] else None
+        if m:
+            out.append(m.span())
+    return out
+
+
+def find_in_links(text: str, found: Anchors, links: list[tuple[int, int]]) -> list[tuple[int, int, str, str]]:
     """(start, end, kind, key) of contact data in the parameters and paths of links."""
     out = []
-    for u in _URL.finditer(text):
-        for m in _PARAM.finditer(u.group()):
+    for start, end in links:
+        for m in _PARAM.finditer(text[start:end]):
             name, raw = m.group(1).lower(), m.group(2).rstrip(".,;:!?)")
             value = unquote(raw.replace("+", " ") if "%" not in raw else raw)
-            s = u.start() + m.start(2)
+            s = start + m.start(2)
             mail = re.fullmatch(rf"({_LOCAL})@({_DOMAIN})", value)
             if mail and _mail_key(*mail.groups()):
                 out.append((s, s + len(raw), EMAIL, _mail_key(*mail.groups())))
@@ -337,27 +458,30 @@ def find_in_links(text: str) -> list[tuple[int, int, str, str]]:
                 key = re.sub(r"[^0-9A-Za-z]", "", value).upper()
                 if any(p.fullmatch(key) for p in _SHAPES):
                     out.append((s, s + len(raw), ID, key))
-    for m in re.finditer(r"(?:wa\.me/|tel:|callto:|phone=)(\+?\d{10,13})", text):
-        key = phone_key(m.group(1))
+    for _, e, _ in found[DIAL]:
+        m = _DIALLED.match(text, e)
+        key = phone_key(m.group()) if m else None
         if key:
-            out.append((m.start(1), m.end(1), PHONE, key))
+            out.append((m.start(), m.end(), PHONE, key))
     return out
 
 
+_DIGIT = re.compile(r"\d")
+
+
 def find_pii(text: str | None) -> list[tuple[int, int, str, str]]:
     """(start, end, kind, key) in order, without overlaps; longer and surer kinds win."""
     if not text:
         return []
-    found: list[tuple[int, int, str, str]] = []
-    found += find_in_links(text)
-    links = [(m.start(), m.end()) for m in _URL.finditer(text)]
-    if "@" in text or "%40" in text or "＠" in text or re.search(r"[\[({<]\s?(?:at|arroba)\s?[\])}>]|\sat\s\w+\sdot\s|arroba", text, re.I):
-        found += [(s, e, EMAIL, k) for s, e, k in find_emails(text)]
-    if re.search(r"\d", text):
-        found += [(s, e, ID, k) for s, e, k in find_ids(text)]
-        found += [(s, e, ADDRESS, k) for s, e, k in find_addresses(text)]
+    signs = find_anchors(text)
+    links = link_spans(text, signs)
+    found = find_in_links(text, signs, links)
+    found += [(s, e, EMAIL, k) for s, e, k in find_emails(text, signs)]
+    if _DIGIT.search(text):
+        found += [(s, e, ID, k) for s, e, k in find_ids(text, signs)]
+        found += [(s, e, ADDRESS, k) for s, e, k in find_addresses(text, signs)]
         found += [(s, e, PHONE, k) for s, e, k in find_phones(text) if not any(a < e and s < b for a, b in links)]
-    found += [(s, e, PERSON, k) for s, e, k in find_persons(text) if not any(a < e and s < b for a, b in links)]
+    found += [(s, e, PERSON, k) for s, e, k in find_persons(text, signs) if not any(a < e and s < b for a, b in links)]
     rank = {EMAIL: 0, ID: 1, ADDRESS: 2, PHONE: 3, PERSON: 4}
     kept: list[tuple[int, int, str, str]] = []
     for f in sorted(found, key=lambda f: (rank[f[2]], f[0], -f[1])):
