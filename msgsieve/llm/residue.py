@@ -259,6 +259,8 @@ def responses(text: str | None, least: int = 2) -> list[tuple[str, str, int, int
             runs[-1].append(i)
         else:
             runs.append([i])
+    # A segment also counts by itself, so that a neighbour with a stray cue hides nothing.
+    runs += [[i] for r in runs if len(r) > 1 for i in r]
     runs = [r for r in runs if len(set().union(*(found[i] for i in r))) >= least]
     if not runs:
         return []
@@ -271,6 +273,8 @@ def responses(text: str | None, least: int = 2) -> list[tuple[str, str, int, int
         rest = set(_words(_HOST.sub(" ", p))) - _CUES - _STOP
         masked = _PROPER.sub("N", _CODE.sub("0", _PATH.sub("/", _HOST.sub("@", p))))
         mismatched = all(body[w] == own[w] for w in rest)
+        if len(rest) > 4 * len(set(own) & _CUES):
+            continue  # a story with a few such words, no response
         out.append((masked.lower(), host.group().lower().split("/")[0] if host else "", len(set(own) & _CUES), len(rest), mismatched))
     return out
 
