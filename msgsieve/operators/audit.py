@@ -11,10 +11,11 @@ def row_id(c):
     return F.substring(F.sha1(F.encode(c, "UTF-8")), 1, 12)
 
 
-def apply_decisions(rows: DataFrame, decisions: DataFrame, text: str = "text_raw") -> DataFrame:
+def apply_decisions(rows: DataFrame, decisions: DataFrame, text: str = "text_raw", topics: DataFrame | None = None, known: tuple[str, ...] = ()) -> DataFrame:
     """Synthetic rows keep, flip or lose their place by decision; rows without one are marked unreviewed.
 
-    A null decision, or one that is no known action, counts as unreviewed.
+    A null decision, or one that is no known action, counts as unreviewed. A safe row that becomes scam gets the topic it was
+    written about (``topics``: text_key, topic) as its type if that is one of ``known``, else unknown.
     """
     d = decisions.where(F.col("action").isin("keep", "flip", "remove")).select("row_id", "action")
     j = rows.withColumn("row_id", F.when(F.col("is_synthetic"), row_id(F.col(text)))).join(d, "row_id", "left")
@@ -22,8 +23,11 @@ def apply_decisions(rows: DataFrame, decisions: DataFrame, text: str = "text_raw
     j = j.withColumn("original_label", F.col("label"))
     other = F.when(F.col("label") == "scam", "safe").otherwise("scam")
     j = j.withColumn("label", F.when(F.col("action") == "flip", other).otherwise(F.col("label")))
-    kind = F.when(F.col("action") != "flip", F.col("scam_type")).when(F.col("label") == "scam", F.lit("unknown")).otherwise(F.lit("none"))
-    return j.withColumn("scam_type", kind).where(F.col("action") != "remove")
+    if topics is not None:
+        j = j.withColumn("__k", collapse(casefold(F.col(text)))).join(topics.select(F.col("text_key").alias("__k"), F.col("topic").alias("__topic")), "__k", "left")
+    topic = F.when(F.col("__topic").isin(*known), F.col("__topic")) if topics is not None else F.lit(None)
+    kind = F.when(F.col("action") != "flip", F.col("scam_type")).when(F.col("label") == "scam", F.coalesce(topic, F.lit("unknown"))).otherwise(F.lit("none"))
+    return j.withColumn("scam_type", kind).where(F.col("action") != "remove").drop("__k", "__topic")
 
 
 def merge_overrides(draft: DataFrame, overrides: DataFrame, key: str = "row_id") -> DataFrame:

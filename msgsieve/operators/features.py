@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..functions.text import normalize_text, preprocess_text, sigmoid
+from ..session import materialize, spread
 from .similarity import char_wb, with_bigrams
 
 
@@ -39,6 +41,53 @@ def fit_centroids(features: DataFrame, labels: DataFrame, key: str = "pos") -> D
     return s.crossJoin(F.broadcast(n)).select("term", (F.col("x") / F.greatest(F.col("a"), F.lit(1)) - F.col("y") / F.greatest(F.col("b"), F.lit(1))).alias("weight"))
 
 
+def term_counts(df: DataFrame, text: Column, key: str = "pos", kind: str = "word") -> DataFrame:
+    """(key, term, tf) with terms as 64-bit hashes, combined before the shuffle."""
+    return spread(df.select(key, text.alias("__t"))).select(key, F.explode(F.transform(terms_of(kind, F.col("__t")), lambda t: F.xxhash64(t))).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
+
+
+def fit_linear(train: DataFrame, text: Column, key: str = "pos", kind: str = "word", min_df: int = 2, weight: str | None = None) -> DataFrame:
+    """(term, idf, weight): hashed terms of the train rows, and the difference of the classes' mean unit vectors.
+
+    One pass makes the counts; documents without known terms count in the means with a zero vector. ``weight``
+    names a column by which rows count in the means, for balanced classes or cells.
+    """
+    tf = materialize(term_counts(train, text, key, kind), "counts")
+    w = F.coalesce(F.col(weight), F.lit(0.0)) if weight else F.lit(1.0)
+    side = train.select(key, F.when(F.col("label") == "scam", w).otherwise(0.0).alias("__a"), F.when(F.col("label") == "safe", w).otherwise(0.0).alias("__b"))
+    n = side.agg(F.count("*").alias("n"), F.sum("__a").alias("a"), F.sum("__b").alias("b"))
+    idf = tf.groupBy("term").agg(F.count("*").alias("df")).where(F.col("df") >= min_df).crossJoin(F.broadcast(n)).select("term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
+    x = tf.join(idf, "term").select(key, "term", "idf", ((1 + F.log("tf")) * F.col("idf")).alias("x"))
+    norm = x.groupBy(key).agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm")).join(side, key)
+    s = x.join(norm, key).groupBy("term").agg(F.first("idf").alias("idf"), F.sum(F.col("x") / F.col("norm") * F.col("__a")).alias("sa"), F.sum(F.col("x") / F.col("norm") * F.col("__b")).alias("sb"))
+    unit = F.when(F.col("a") > 0, F.col("sa") / F.col("a")).otherwise(0.0) - F.when(F.col("b") > 0, F.col("sb") / F.col("b")).otherwise(0.0)
+    return s.crossJoin(F.broadcast(n)).select("term", "idf", unit.alias("weight"))
+
+
+def score_linear(rows: DataFrame, model: DataFrame, text: Column, key: str = "pos", kind: str = "word", bias: float = 0.0) -> DataFrame:
+    """(key, margin) of every row: one join with the model, one aggregation; rows without known terms get the bias."""
+    x = term_counts(rows, text, key, kind).join(model, "term").select(key, ((1 + F.log("tf")) * F.col("idf")).alias("x"), "weight")
+    m = x.groupBy(key).agg((F.sum(F.col("x") * F.col("weight")) / F.sqrt(F.sum(F.col("x") * F.col("x")))).alias("m"))
+    return rows.select(key).join(m, key, "left").select(key, (F.coalesce("m", F.lit(0.0)) + bias).alias("margin"))
+
+
+def prepared(c: Column, chars: int = 2_000) -> Column:
+    """The text a model reads: normalised, cleaned, masked, cut. Null and texts that are blank then give null."""
+    t = F.substring(preprocess_text(normalize_text(c)), 1, chars)
+    return F.when(F.trim(t) != "", t)
+
+
+def predict(rows: DataFrame, model: DataFrame, threshold: float | Column, text: str = "text_raw", key: str = "pos") -> DataFrame:
+    """(key, margin, scam_probability, is_scam) of raw rows; rows that are blank after cleaning have nulls.
+
+    The flag compares the margin with the threshold; the probability is a sigmoid of their difference.
+    """
+    ready = rows.select(key, prepared(F.col(text)).alias("__t"))
+    threshold = threshold if isinstance(threshold, Column) else F.lit(float(threshold))
+    m = score_linear(ready.where("__t is not null"), model, F.col("__t"), key)
+    return rows.select(key).join(m, key, "left").select(key, "margin", sigmoid(F.col("margin") - threshold).alias("scam_probability"), (F.col("margin") >= threshold).alias("is_scam"))
+
+
 def score(features: DataFrame, weights: DataFrame, rows: DataFrame, bias: float = 0.0, key: str = "pos") -> DataFrame:
     """(key, margin): rows without known terms get the bias."""
     m = features.join(weights, "term").groupBy(key).agg(F.sum(F.col("w") * F.col("weight")).alias("m"))

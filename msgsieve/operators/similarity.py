@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import DoubleType
 
 from ..functions.text import casefold, dedup_key
-from ..session import materialize
+from ..session import materialize, partitions_for, spread
 from .graph import connected_components
 
 NEAR_CHARS = 3_000
@@ -41,51 +45,98 @@ def char_wb(text: Column, low: int = 2, high: int = 5) -> Column:
     return F.flatten(F.transform(words, grams))
 
 
-def tfidf(df: DataFrame, ident: str, terms: Column, min_df: int = 1) -> DataFrame:
-    """(doc, term, df, w): sublinear tf times smooth idf, every document of length 1.
+def term_table(df: DataFrame, ident: str, terms: Column) -> DataFrame:
+    """(doc, term, tf): the only thing weights need of the texts, so they are read and cut once.
 
-    ln((1+n)/(1+df))+1 and 1+ln(tf); documents without terms have no rows.
     Terms are carried as 64-bit hashes, which halves what is shuffled.
     """
-    base = df.select(F.col(ident).alias("doc"), F.transform(terms, lambda t: F.xxhash64(t)).alias("terms"))
-    n = base.agg(F.count("*").alias("n"))
-    tf = base.select("doc", F.explode("terms").alias("term")).groupBy("doc", "term").agg(F.count("*").alias("tf"))
-    dfreq = tf.groupBy("term").agg(F.count("*").alias("df")).where(F.col("df") >= min_df)
-    idf = dfreq.crossJoin(F.broadcast(n)).select("term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"), "df")
-    raw = tf.join(idf, "term").select("doc", "term", "df", ((1 + F.log("tf")) * F.col("idf")).alias("x"))
-    norm = F.sqrt(F.sum(F.col("x") * F.col("x")).over(Window.partitionBy("doc")))
-    return raw.select("doc", "term", "df", (F.col("x") / norm).alias("w"))
+    base = spread(df).select(F.col(ident).alias("doc"), F.transform(terms, lambda t: F.xxhash64(t)).alias("terms"))
+    return base.select("doc", F.explode("terms").alias("term")).groupBy("doc", "term").agg(F.count("*").alias("tf"))
+
+
+def _pack(threshold: float):
+    """Sparse unit vectors of the documents of a partition: terms ascending, weights, and the rare end."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        parts = [b for b in batches if len(b)]
+        if not parts:
+            return
+        c = {k: np.concatenate([p[k].to_numpy() for p in parts]) for k in ("doc", "df", "term", "x")}
+        del parts
+        order = np.lexsort((c["term"], c["df"], c["doc"]))
+        doc, term, x = c["doc"][order], c["term"][order], c["x"][order]
+        start = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1])))
+        size = np.diff(np.append(start, len(doc)))
+        of = np.repeat(np.arange(len(start)), size)
+        w = x / np.sqrt(np.add.reduceat(x * x, start))[of]
+        # Squared length from a term to the document's end, in the order from rare to frequent.
+        total = np.cumsum((w * w)[::-1])[::-1]
+        rest = total - np.append(total, 0.0)[start + size][of]
+        need = rest >= threshold * threshold - 1e-9
+        by_term = np.lexsort((term, of))
+        t, v = term[by_term], w[by_term]
+        for lo in range(0, len(start), 10_000):
+            s, e = start[lo : lo + 10_000], (start + size)[lo : lo + 10_000]
+            yield pd.DataFrame({"doc": doc[s], "terms": [t[i:j] for i, j in zip(s, e)], "w": [v[i:j] for i, j in zip(s, e)],
+                                "rare": [term[i:j][need[i:j]] for i, j in zip(s, e)]})
+
+    return run
+
+
+def vectors(tf: DataFrame, docs: DataFrame, threshold: float, min_df: int = 1, rows: int | None = None) -> DataFrame:
+    """(doc, terms, w, rare): every document's unit vector, sublinear tf times smooth idf, terms ascending.
+
+    ln((1+n)/(1+df))+1 and 1+ln(tf), n being the rows of ``docs`` (doc); documents without terms have no row.
+    ``rare`` holds the terms, from rare to frequent, until what is left of the vector is shorter than ``threshold``. ``rows``
+    bounds the terms in ``tf`` (counted if not given), so that a task packs about two million at a time.
+    """
+    n = docs.agg(F.count("*").alias("n"))
+    idf = tf.groupBy("term").agg(F.count("*").alias("df")).where(F.col("df") >= min_df).crossJoin(F.broadcast(n)).select("term", "df", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
+    x = tf.join(idf, "term").select("doc", "df", "term", ((1 + F.log("tf")) * F.col("idf")).alias("x"))
+    kind = dict(x.dtypes)["doc"]
+    spark = tf.sparkSession
+    return x.repartition(partitions_for(spark, tf.count() if rows is None else rows, 2_000_000), "doc").mapInPandas(_pack(threshold), f"doc {kind}, terms array<long>, w array<double>, rare array<long>")
+
+
+def tfidf(df: DataFrame, ident: str, terms: Column, threshold: float, min_df: int = 1) -> DataFrame:
+    """The written vectors of texts, see ``vectors``."""
+    tf = materialize(term_table(df, ident, terms), "terms")
+    return materialize(vectors(tf, df.select(F.col(ident).alias("doc")), threshold, min_df), "vectors")
+
 
+@F.pandas_udf(DoubleType())
+def _dot(a: pd.Series, wa: pd.Series, b: pd.Series, wb: pd.Series) -> pd.Series:
+    """Dot products of sparse vectors with terms in ascending order: one merge per pair."""
+    out = np.empty(len(a))
+    for i, (x, p, y, q) in enumerate(zip(a, wa, b, wb)):
+        at = np.minimum(np.searchsorted(y, x), len(y) - 1)
+        on = y[at] == x
+        out[i] = float(np.dot(p[on], q[at[on]]))
+    return pd.Series(out)
 
-def cosine_pairs(weights: DataFrame, threshold: float, sides: DataFrame | None = None) -> DataFrame:
+
+def cosine_pairs(vec: DataFrame, threshold: float, sides: DataFrame | None = None) -> DataFrame:
     """(i, j, sim) of all pairs i < j with cosine ``threshold`` or more; exact.
 
-    Terms are taken from rare to frequent; a document needs only the terms
-    until what is left of its vector is shorter than the threshold, because
-    without one of those a pair can't reach it. Candidates share such a term and are
-    verified with the full dot product. ``sides`` (doc, side) restricts the pairs to documents of different sides.
+    A pair that reaches the threshold shares a term of the rare end of both vectors: what is left of
+    either is too short. Documents and then terms break ties of frequency, so both cut alike. Candidates are
+    verified with the full dot product, merged from sorted arrays. ``vec`` is a written table of ``vectors`` for this
+    threshold; ``sides`` (doc, side) restricts the pairs to documents of different sides.
     """
-    w = Window.partitionBy("doc").orderBy(F.desc("df"), F.desc("term")).rowsBetween(Window.unboundedPreceding, 0)
-    left = F.sum(F.col("w") * F.col("w")).over(w)
-    prefix = weights.withColumn("left", left).where(F.col("left") >= threshold * threshold - 1e-12).select("doc", "term")
+    prefix = vec.select("doc", F.explode("rare").alias("term"))
+    cond = "a.term = b.term and a.doc < b.doc"
     if sides is not None:
         prefix = prefix.join(sides, "doc")
-        cond = F.expr("a.term = b.term and a.doc < b.doc and a.side <> b.side")
-    else:
-        cond = F.expr("a.term = b.term and a.doc < b.doc")
-    cand = prefix.alias("a").join(prefix.alias("b"), cond).select(F.col("a.doc").alias("i"), F.col("b.doc").alias("j")).distinct()
-    need = cand.select(F.col("i").alias("doc")).union(cand.select("j")).distinct()
-    vec = weights.join(need, "doc", "left_semi").groupBy("doc").agg(F.map_from_entries(F.collect_list(F.struct("term", "w"))).alias("v"))
-    both = cand.join(vec.select(F.col("doc").alias("i"), F.col("v").alias("vi")), "i").join(vec.select(F.col("doc").alias("j"), F.col("v").alias("vj")), "j")
-    terms = F.array_sort(F.array_intersect(F.map_keys("vi"), F.map_keys("vj")))
-    sim = F.aggregate(terms, F.lit(0.0), lambda acc, t: acc + F.element_at("vi", t) * F.element_at("vj", t))
-    return both.select("i", "j", sim.alias("sim")).where(F.col("sim") >= threshold - 1e-12)
+        cond += " and a.side <> b.side"
+    cand = prefix.alias("a").join(prefix.alias("b"), F.expr(cond)).select(F.col("a.doc").alias("i"), F.col("b.doc").alias("j")).distinct()
+    flat = vec.select("doc", "terms", "w")
+    both = cand.join(flat.toDF("i", "ti", "wi"), "i").join(flat.toDF("j", "tj", "wj"), "j")
+    return both.select("i", "j", _dot("ti", "wi", "tj", "wj").alias("sim")).where(F.col("sim") >= threshold - 1e-12)
 
 
 def similar_pairs(df: DataFrame, ident: str, text: str, threshold: float = 0.8) -> DataFrame:
     """Pairs of documents by the cosine of word 1-2-grams."""
-    weights = materialize(tfidf(df, ident, with_bigrams(near_tokens(F.col(text)))), "tfidf")
-    return cosine_pairs(weights, threshold)
+    return cosine_pairs(tfidf(df.select(ident, text), ident, with_bigrams(near_tokens(F.col(text))), threshold), threshold)
 
 
 def near_duplicate_clusters(df: DataFrame, pairs: DataFrame, ident: str = "pos") -> DataFrame:
@@ -121,19 +172,26 @@ def sensitivity(pairs: DataFrame, thresholds=(0.80, 0.90, 0.95)) -> DataFrame:
     return out
 
 
-def cross_near_duplicates(new: DataFrame, reference: DataFrame, ident: str, text: str, threshold: float = 0.9) -> DataFrame:
+def near_terms(df: DataFrame, ident: str, text: str) -> DataFrame:
+    """The written (doc, term, tf) of a table, for ``cross_near_duplicates`` of any parts of it."""
+    return materialize(term_table(df.select(ident, text), ident, with_bigrams(near_tokens(F.col(text)))), "terms")
+
+
+def cross_near_duplicates(new: DataFrame, reference: DataFrame, ident: str, text: str, threshold: float = 0.9, terms: DataFrame | None = None) -> DataFrame:
     """(ident, exact, max_sim, flagged) for every row of ``new`` against ``reference``.
 
-    The vectors are fitted on both together. Identifiers must differ between the two.
+    The vectors are fitted on both together. Identifiers must differ between the two. ``terms`` (see ``near_terms``)
+    of a table that holds both saves reading the texts again.
     """
-    both = reference.select(ident, text, F.lit(0).alias("side")).unionByName(new.select(ident, text, F.lit(1).alias("side")))
-    weights = materialize(tfidf(both, ident, with_bigrams(near_tokens(F.col(text)))), "tfidf")
-    sides = both.select(F.col(ident).alias("doc"), "side")
-    p = cosine_pairs(weights, threshold, sides)
+    sides = reference.select(F.col(ident).alias("doc"), F.lit(0).alias("side")).unionByName(new.select(F.col(ident).alias("doc"), F.lit(1).alias("side")))
+    if terms is None:
+        terms = near_terms(reference.select(ident, text).unionByName(new.select(ident, text)), ident, text)
+    vec = materialize(vectors(terms.join(sides.select("doc"), "doc", "left_semi"), sides, threshold, rows=terms.count()), "vectors")
+    p = cosine_pairs(vec, threshold, sides)
     flat = p.select(F.col("i").alias("doc"), "sim").union(p.select("j", "sim"))
     best = flat.join(sides.where("side = 1"), "doc", "left_semi").groupBy("doc").agg(F.max("sim").alias("max_sim"))
-    keys = reference.select(dedup_key(F.col(text)).alias("k")).distinct().withColumn("exact", F.lit(True))
-    rows = new.select(F.col(ident), dedup_key(F.col(text)).alias("k")).join(keys, "k", "left").join(best.withColumnRenamed("doc", ident), ident, "left")
+    keys = reference.select(F.xxhash64(dedup_key(F.col(text))).alias("k")).distinct().withColumn("exact", F.lit(True))
+    rows = new.select(F.col(ident), F.xxhash64(dedup_key(F.col(text))).alias("k")).join(keys, "k", "left").join(best.withColumnRenamed("doc", ident), ident, "left")
     exact = F.coalesce("exact", F.lit(False))
     return rows.select(ident, exact.alias("exact"), "max_sim", (exact | F.col("max_sim").isNotNull()).alias("flagged"))
 
@@ -145,11 +203,12 @@ def trim_cross_split(df: DataFrame, ident: str = "pos", text: str = "text", spli
     fitted anew each time.
     """
     now = materialize(df, "splits")
+    terms = near_terms(now, ident, text)
     removed = 0
     for _ in range(max_rounds):
         hit = 0
         for held, ref in (("val", "train"), ("test", "train"), ("test", "val")):
-            flags = cross_near_duplicates(now.where(F.col(split) == held), now.where(F.col(split) == ref), ident, text, threshold).where("flagged")
+            flags = cross_near_duplicates(now.where(F.col(split) == held), now.where(F.col(split) == ref), ident, text, threshold, terms).where("flagged")
             bad = materialize(flags.select(ident), "leaks")
             n = bad.count()
             if n:
@@ -164,8 +223,9 @@ def trim_cross_split(df: DataFrame, ident: str = "pos", text: str = "text", spli
 def leakage_audit(df: DataFrame, ident: str = "pos", text: str = "text", split: str = "split", threshold: float = 0.9) -> DataFrame:
     """(held, reference, rows, near_duplicates, max_similarity) per pair of splits."""
     out = None
+    terms = near_terms(df, ident, text)
     for held, ref in (("val", "train"), ("test", "train"), ("test", "val")):
-        r = cross_near_duplicates(df.where(F.col(split) == held), df.where(F.col(split) == ref), ident, text, threshold)
+        r = cross_near_duplicates(df.where(F.col(split) == held), df.where(F.col(split) == ref), ident, text, threshold, terms)
         row = r.agg(F.count("*").alias("rows"), F.count_if("flagged").alias("near_duplicates"), F.round(F.max("max_sim"), 4).alias("max_similarity"))
         row = row.select(F.lit(held).alias("held"), F.lit(ref).alias("reference"), "rows", "near_duplicates", "max_similarity")
         out = row if out is None else out.unionByName(row)

@@ -97,16 +97,6 @@ def q_error_groups(spark, d):
 
 
 # ---------------------------------------------------------------- text functions
-@query("SELECT pos, regexp_replace(text_raw, '\\b(199\\d|200\\d|2010)\\b', '<YEAR>', 'g') AS t FROM combined WHERE regexp_matches(text_raw, '^[\\x00-\\x7F]*$')")
-def q_mask_years(spark, d):
-    return _c(spark, d).where(F.col("text_raw").rlike(r"^[\x00-\x7F]*$")).select("pos", tx.mask_years(F.col("text_raw")).alias("t"))
-
-
-@query("SELECT pos, regexp_replace(text_raw, '(?i)(£|€|₹|\\$|\\brs\\.?\\s?|\\binr\\s?)(\\d)', '<CUR> \\2', 'g') AS t FROM combined WHERE NOT regexp_matches(text_raw, '[^\\x00-\\x7F£€₹]')")
-def q_normalize_currency(spark, d):
-    return _c(spark, d).where(~F.col("text_raw").rlike(r"[^\x00-\x7F£€₹]")).select("pos", tx.normalize_currency(F.col("text_raw")).alias("t"))
-
-
 @query()
 def q_clean_and_mask(spark, d):
     c = _c(spark, d)
@@ -130,30 +120,6 @@ def q_repair_latin1(spark, d):
     return c.where("repaired <> text_raw").select("pos", "repaired")
 
 
-def _language_sql() -> str:
-    letters = r"len(regexp_extract_all(text, '[\p{L}\p{M}]'))"
-    counts = ", ".join(rf"len(regexp_extract_all(text, '[{b}]')) - len(regexp_extract_all(text, '[०-९।॥০-৯௦-௯]')) * {1 if t in ('hi', 'bn', 'ta') else 0} AS n_{t}" for t, b in tx.SCRIPT_BLOCKS.items())
-    tags = list(tx.SCRIPT_BLOCKS)
-    best = "greatest(" + ", ".join(f"n_{t}" for t in tags) + ")"
-    case = " ".join(f"WHEN best > 0 AND n_{t} = best AND best::DOUBLE / letters >= 0.2 THEN '{t}'" for t in tags)
-    words = ", ".join(f"'{w}'" for w in tx.HINGLISH)
-    return f"""WITH a AS (SELECT pos, text, {letters} AS letters, {counts}, len(regexp_extract_all(text, '[A-Za-z]')) AS ascii_letters,
-      len(list_intersect(list_distinct(regexp_extract_all(lower(text), '[a-z]+')), [{words}])) AS hits FROM combined WHERE NOT regexp_matches(text, '[०-९০-৯௦-௯।॥]')),
-      b AS (SELECT *, {best} AS best FROM a)
-      SELECT pos, CASE {case} WHEN letters > 0 AND ascii_letters::DOUBLE / letters < 0.5 THEN 'other' WHEN hits >= 2 THEN 'hinglish_guess' ELSE 'en' END AS tag FROM b"""
-
-
-@query(_language_sql())
-def q_detect_language(spark, d):
-    c = _c(spark, d).where(~F.col("text").rlike("[०-९০-৯௦-௯।॥]"))
-    return c.select("pos", tx.detect_language(F.col("text")).alias("tag"))
-
-
-@query()
-def q_output_language(spark, d):
-    return _c(spark, d).select("pos", tx.output_language(F.col("text")).alias("output_language"), tx.detect_language(F.col("text")).alias("tag"))
-
-
 @query()
 def q_pii_kinds(spark, d):
     return _c(spark, d).select("pos", tx.pii_kinds(F.col("text_raw")).alias("kinds"), tx.placeholder_number(F.col("text_raw")).alias("placeholder"))
@@ -582,16 +548,6 @@ def q_kb_problems(spark, d):
 
 
 # ---------------------------------------------------------------- features and scoring
-@query()
-def q_linear_scores(spark, d):
-    c = features.model_input(_c(spark, d))
-    train = c.where("split = 'train'")
-    vocabulary = materialize(features.fit_vocabulary(train), "vocabulary")
-    weights = materialize(features.fit_centroids(features.transform(train, vocabulary), train), "weights")
-    rest = c.where("split in ('val', 'test')")
-    return features.score(features.transform(rest, vocabulary), weights, rest).withColumn("margin", F.round("margin", 9))
-
-
 @query()
 def q_top_weights(spark, d):
     c = features.model_input(_c(spark, d)).where("split = 'train'")
@@ -599,22 +555,6 @@ def q_top_weights(spark, d):
     return features.top_weights(features.fit_centroids(features.transform(c, vocabulary), c)).withColumn("weight", F.round("weight", 9))
 
 
-@query()
-def q_char_features(spark, d):
-    c = features.model_input(_c(spark, d)).where("split = 'val'")
-    return features.fit_vocabulary(c, "char", 3).agg(F.count("*").alias("terms"), F.round(F.sum("idf"), 3).alias("idf_sum"))
-
-
-@query()
-def q_analyze_messages(spark, d):
-    """Links scored, masks counted, language tagged and the linear margin, one row per message."""
-    c = _c(spark, d)
-    links = ur.score_urls(_links(spark, d), table(spark, d, "blocklist")).groupBy("pos").agg(F.collect_list("band").alias("bands"), F.max("score").alias("worst_score"))
-    margin = q_linear_scores(spark, d)
-    out = c.select("pos", "source", tx.detect_language(F.col("text")).alias("tag")).join(links, "pos", "left").join(margin, "pos", "left")
-    return out.select("pos", "source", "tag", ur.worst_band(F.coalesce("bands", F.array().cast("array<string>"))).alias("worst"), F.round("worst_score", 6).alias("worst_score"), "margin")
-
-
 # ---------------------------------------------------------------- sinks, packs, streams
 @query("SELECT id, text, label, source, language, is_synthetic, subtype, split, length(text_raw) AS raw_chars FROM combined")
 def q_pack(spark, d):

@@ -58,6 +58,17 @@ def partitions_for(spark: SparkSession, rows: int, per: int) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // per))
 
 
+def spread(df: DataFrame, per_core: int = 16 << 20) -> DataFrame:
+    """A small input over all cores, for work that costs more than moving it.
+
+    A file of few row groups keeps few cores busy. Only inputs of less than ``per_core`` bytes a core by the
+    planner's own estimate are moved; larger ones have enough parts and stay where they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return df.repartition(cores) if size < per_core * cores else df
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir``, else a local one.
 
