@@ -55,9 +55,8 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p6_new_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     df, ingests = table(spark, sf_dir, "combined"), table(spark, sf_dir, "ingests")
     # One row per ingest: a list that fits the driver by its nature.
-    state = {r[0]: r[1] for r in ingests.select("ingest_no", "state").collect()}
-    old = sorted(k for k, v in state.items() if v == "accepted")
-    return history.check_new_batches(df, old, sorted(k for k, v in state.items() if v == "new"))
+    new = sorted(r[0] for r in ingests.where("state = 'new'").select("ingest_no").collect())
+    return history.check_new_batches(df, ingests.where("state = 'accepted'"), new)
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
