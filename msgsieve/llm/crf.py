@@ -45,14 +45,14 @@ def script(word: str) -> str:
 
 def word_features(word: str) -> np.ndarray:
     """Hashed feature numbers of a word in lower case."""
-    w = f"<{word[:40]}>"
-    f = [f"w={word[:40]}", f"s={script(word)}"]
+    w = f"<{word}>"
+    f = [f"w={word}", f"s={script(word)}"]
     if word in LEXICON_OF:
         f.append(f"l={LEXICON_OF[word]}")
     for n in (1, 2, 3, 4):
         if len(word) >= n:
             f += [f"p{word[:n]}", f"e{word[-n:]}"]
-    f += [f"3{w[i:i + 3]}" for i in range(min(len(w) - 2, 12))]
+    f += [f"3{w[i:i + 3]}" for i in range(len(w) - 2)]
     return np.fromiter((zlib.crc32(x.encode()) & (WIDTH - 1) for x in f), dtype=np.int64, count=len(f))
 
 

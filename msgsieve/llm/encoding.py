@@ -26,7 +26,6 @@ CHARSETS = ("western", "mac_roman", "cp437", "cp850", "cp1251", "koi8_r", "cp125
 SINGLE = "cp1252-as-latin1"
 CHAINS = (*CHARSETS, SINGLE)
 NONE = "none"
-MAX_LAYERS = 4
 _SEQ = re.compile("[Â-ß][\u0080-¿]|[à-ï][\u0080-¿]{2}|[ð-ô][\u0080-¿]{3}")
 #: A lead byte and too few of its followers, or followers replaced by a question mark.
 _TORN = re.compile(
@@ -120,7 +119,7 @@ def evidence(text: str | None) -> tuple[int, ...]:
 
 def pattern(ev: tuple[int, ...]) -> str:
     """Evidence rounded to powers of two, so that few patterns hold all records."""
-    return "".join(chr(48 + min(9, v.bit_length())) for v in ev)
+    return "".join(chr(48 + v.bit_length()) for v in ev)
 
 
 def _sizes(pat: str) -> list[int]:
@@ -185,7 +184,7 @@ def repair(text: str | None, prior: np.ndarray, hit: float = 0.95, stray: float
     lost = "�" in text
     chains: list[str] = []
     now = text
-    for _ in range(MAX_LAYERS):
+    while True:  # every layer undone makes the text shorter
         ev = evidence(now)
         if not any(ev):
             break

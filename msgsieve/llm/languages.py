@@ -141,14 +141,37 @@ def fit_language_model(df: DataFrame, tags: DataFrame, ident: str, text: str, la
     return final
 
 
-def label_texts(model: Crf, texts: list[str | None], least_words: int = 4, least_share: float = 0.6) -> list[list[tuple[str, float, int, int]]]:
-    """Segments (tag, confidence, words, sentences) of every text, in order.
+def _stretches(labels: list[str], m: np.ndarray, least: int = 3) -> list[tuple[str, float, int, int]]:
+    """(tag, confidence, first word, words) over all words of a text, switches inside sentences included.
 
-    A sentence counts with ``least_words`` words or more and if its best tag has
-    ``least_share`` of the marginals; shorter ones join the segment before them.
+    Runs of one best tag; a run of fewer than ``least`` words, such as a name or a loan word, belongs to its neighbour.
+    """
+    if not len(m):
+        return []
+    best = m.argmax(axis=1)
+    cut = np.flatnonzero(np.concatenate(([True], best[1:] != best[:-1])))
+    size = np.diff(np.append(cut, len(best)))
+    runs: list[list[int]] = []
+    for at, n in zip(cut.tolist(), size.tolist()):
+        tag = int(best[at])
+        if runs and (runs[-1][0] == tag or n < least):
+            runs[-1][2] += n
+        elif runs and len(runs) == 1 and runs[0][2] < least:
+            runs[0] = [tag, 0, runs[0][2] + n]
+        else:
+            runs.append([tag, at, n])
+    return [(labels[t], float(m[a : a + n, t].mean()), a, n) for t, a, n in runs]
+
+
+def label_texts(model: Crf, texts: list[str | None], least_words: int = 4, least_share: float = 0.6) -> list[tuple[list[tuple[str, float, int, int]], list[tuple[str, float, int, int]]]]:
+    """(segments, stretches) of every text, in order.
+
+    Segments (tag, confidence, words, sentences) are of whole sentences that are of one language: a sentence counts with
+    ``least_words`` words or more and if its best tag has ``least_share`` of the marginals. Stretches (see ``_stretches``)
+    cover every word.
     """
     if not model.labels:
-        return [[] for _ in texts]
+        return [([], []) for _ in texts]
     cut = [sentences(t) for t in texts]
     margins = model.marginals([[w for s in c for w in s] for c in cut])
     out = []
@@ -160,7 +183,6 @@ def label_texts(model: Crf, texts: list[str | None], least_words: int = 4, least
         for s in c:
             p = m[at : at + len(s)].sum(axis=0)
             at += len(s)
-            # A tag can't be written in another script than its own.
             best = int(p.argmax())
             share = float(p[best] / max(p.sum(), 1e-9))
             if len(s) < least_words or share < least_share:
@@ -177,20 +199,22 @@ def label_texts(model: Crf, texts: list[str | None], least_words: int = 4, least
         if not segments and total_spare:
             best = int(spare.argmax())
             segments = [[model.labels[best], float(spare[best]), total_spare, 1]]
-        out.append([(t, min(1.0, v / max(n, 1)), n, k) for t, v, n, k in segments])
+        out.append(([(t, min(1.0, v / max(n, 1)), n, k) for t, v, n, k in segments], _stretches(model.labels, m)))
     return out
 
 
 def label_languages(df: DataFrame, tags: DataFrame, ident: str = "pos", text: str = "text", language: str = "language", raw: str | None = "text_raw", per_tag: int = 500) -> DataFrame:
-    """(ident, given, main, confidence, segments): one row per row of ``df``.
+    """(ident, given, main, confidence, segments, stretches): one row per row of ``df``.
 
     ``given`` is the tag of the row's label, null if it has none; ``main`` the
     tag with the most words, null for texts without words; ``segments`` an
-    array of (tag, confidence, words, sentences) in order.
+    array of (tag, confidence, words, sentences) in order, ``stretches`` one of (tag, confidence, first,
+    words) that covers every word of the text.
     """
     spark = df.sparkSession
     model = spark.sparkContext.broadcast(fit_language_model(df, tags, ident, text, language, raw, per_tag))
     seg = "array<struct<tag:string,confidence:double,words:int,sentences:int>>"
+    runs = "array<struct<tag:string,confidence:double,first:int,words:int>>"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         crf = model.value
@@ -199,8 +223,8 @@ def label_languages(df: DataFrame, tags: DataFrame, ident: str = "pos", text: st
                 part = pdf.iloc[lo : lo + 2000]
                 raws = part["raw"] if raw else [None] * len(part)
                 found = label_texts(crf, [readable(t, r, _EVEN) for t, r in zip(part["text"], raws)])
-                main, conf, segs = [], [], []
-                for s in found:
+                main, conf, segs, stretches = [], [], [], []
+                for s, whole in found:
                     words: dict[str, int] = {}
                     for t, _, n, _ in s:
                         words[t] = words.get(t, 0) + n
@@ -208,13 +232,14 @@ def label_languages(df: DataFrame, tags: DataFrame, ident: str = "pos", text: st
                     main.append(best)
                     conf.append(float(sum(c * n for t, c, n, _ in s if t == best) / words[best]) if best else None)
                     segs.append([{"tag": t, "confidence": c, "words": n, "sentences": k} for t, c, n, k in s])
-                yield pd.DataFrame({ident: part["ident"].to_numpy(), "given": part["given"].to_numpy(), "main": main, "confidence": conf, "segments": segs})
+                    stretches.append([{"tag": t, "confidence": c, "first": a, "words": n} for t, c, a, n in whole])
+                yield pd.DataFrame({ident: part["ident"].to_numpy(), "given": part["given"].to_numpy(), "main": main, "confidence": conf, "segments": segs, "stretches": stretches})
 
     kind = dict(df.dtypes)[ident]
     named = tags.where("tag is not null").select(F.col("alias").alias("__alias"), F.col("tag").alias("given"))
     rows = df.join(F.broadcast(named), F.col(language) == F.col("__alias"), "left")
     cols = [F.col(ident).alias("ident"), F.col(text).alias("text"), "given"] + ([F.col(raw).alias("raw")] if raw else [])
-    return rows.select(*cols).mapInPandas(run, f"{ident} {kind}, given string, main string, confidence double, segments {seg}")
+    return rows.select(*cols).mapInPandas(run, f"{ident} {kind}, given string, main string, confidence double, segments {seg}, stretches {runs}")
 
 
 def language_cases(labelled: DataFrame, ident: str = "pos") -> DataFrame:

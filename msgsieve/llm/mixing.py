@@ -59,7 +59,7 @@ def schedule(plans: DataFrame, slots: DataFrame) -> DataFrame:
 
 
 def mix_sources(df: DataFrame, plans: DataFrame, ident: str = "doc_id", text: str = "text", source: str = "source", vocabulary: str = DEFAULT,
-                block_tokens: int = 1024, seed: int = 20240229) -> tuple[DataFrame, DataFrame]:
+                block_tokens: int = 1024, seed: int = 20240229, fill_rounds: int = 4) -> tuple[DataFrame, DataFrame]:
     """(draw, shares).
 
     draw: (plan_id, slot, source, ident, use_no, tokens) - a document's
@@ -89,11 +89,24 @@ def mix_sources(df: DataFrame, plans: DataFrame, ident: str = "doc_id", text: st
     uses = sized.join(F.broadcast(plan_rows), "source").withColumn("o", F.xxhash64("i", "plan_id", "use", F.lit(seed)))
     placed = prefix_sums(uses, ["plan_id", "source", "use"], "o", "tokens", "at")
     placed = placed.withColumn("at", F.col("at") + F.col("use") * F.col("have"))
-    # A document belongs to the draw if more of it lies inside the wanted tokens than outside;
-    # what goes beyond the source's last slot by rounding stands in that slot.
-    drawn = placed.where(F.col("at") + F.col("tokens") / 2 <= F.col("wanted")).withColumn("rank", F.floor(F.col("at") / block_tokens))
+    # Whole documents up to the wanted tokens; then the largest unused ones that still fit into what is left.
+    placed = materialize(placed.select("plan_id", "source", "i", "use", "tokens", "at", "wanted"), "uses")
+    inside = F.col("at") + F.col("tokens") <= F.col("wanted")
+    drawn = placed.where(inside)
+    rest = placed.where(~inside)
+    for _ in range(fill_rounds):
+        gap = drawn.groupBy("plan_id", "source").agg(F.sum("tokens").alias("__t"))
+        gap = want.where("wanted > 0").select("plan_id", "source", "wanted").join(gap, ["plan_id", "source"], "left").select("plan_id", "source", (F.col("wanted") - F.coalesce("__t", F.lit(0))).alias("__gap"))
+        fits = rest.join(F.broadcast(gap), ["plan_id", "source"]).where("tokens <= __gap")
+        pick = fits.groupBy("plan_id", "source").agg(F.max(F.struct("tokens", "use", "i", "at", "wanted")).alias("p")).select("plan_id", "source", "p.i", "p.use", "p.tokens", "p.at", "p.wanted")
+        pick = materialize(pick, "fill")
+        drawn = drawn.unionByName(pick)
+        rest = rest.join(F.broadcast(pick.select("plan_id", "source", "i", "use")), ["plan_id", "source", "i", "use"], "left_anti")
+    # What fills a gap stands in the source's last slot.
+    drawn = drawn.withColumn("rank", F.floor(F.least("at", "wanted") / block_tokens))
+    # Slots grow with the data: both sides are shuffled, nothing is broadcast.
     drawn = drawn.join(size, ["plan_id", "source"]).withColumn("rank", F.least("rank", F.col("k") - 1))
-    draw = drawn.join(ranked, ["plan_id", "source", "rank"]).select("plan_id", "slot", "source", F.col("i").alias(ident), (F.col("use") + 1).alias("use_no"), "tokens")
+    draw = drawn.join(ranked.hint("merge"), ["plan_id", "source", "rank"]).select("plan_id", "slot", "source", F.col("i").alias(ident), (F.col("use") + 1).alias("use_no"), "tokens")
     got = drawn.groupBy("plan_id", "source").agg(F.sum("tokens").alias("got"), F.count("*").alias("uses"), F.max(F.col("use") + 1).alias("most_uses"))
     zero = F.lit(0).cast("long")
     shares = want.join(got, ["plan_id", "source"], "left").select(

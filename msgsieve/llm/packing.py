@@ -11,7 +11,7 @@ packed in a further round over fewer shards.
 from __future__ import annotations
 
 import math
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 
 import numpy as np
 import pandas as pd
@@ -22,13 +22,14 @@ from .tokens import DEFAULT, count_tokens
 
 
 class _Sizes:
-    """A multiset of items by size, with the largest size not above a bound."""
+    """A multiset of items by size and then loss, with the largest size not above a bound."""
 
-    def __init__(self, size: np.ndarray):
+    def __init__(self, size: np.ndarray, loss: np.ndarray):
         self.sizes = sorted(set(size.tolist()))
-        self.items: dict[int, list[int]] = {s: [] for s in self.sizes}
-        for i in np.argsort(-np.arange(len(size))):
-            self.items[int(size[i])].append(int(i))
+        self.items: list[list[tuple[int, int]]] = [[] for _ in self.sizes]
+        slot = {s: j for j, s in enumerate(self.sizes)}
+        for l, i in sorted(zip(loss.tolist(), range(len(size)))):
+            self.items[slot[int(size[i])]].append((l, i))
         self.below = list(range(len(self.sizes)))  # the next slot at or below that has items
         self.left = len(size)
 
@@ -47,23 +48,32 @@ class _Sizes:
     def next_below(self, slot: int) -> int:
         return self._find(slot - 1) if slot > 0 else -1
 
-    def peek(self, slot: int) -> int:
-        return self.items[self.sizes[slot]][-1]
+    def most(self, slot: int, carry: int, other: tuple[int, int] | None = None) -> tuple[int, int] | None:
+        """The (loss, item) of a size with the most loss within ``carry``, apart from ``other``."""
+        at = bisect_right(self.items[slot], (carry, 1 << 62)) - 1
+        if at >= 0 and self.items[slot][at] == other:
+            at -= 1
+        return self.items[slot][at] if at >= 0 else None
 
-    def pop(self, slot: int) -> int:
-        stack = self.items[self.sizes[slot]]
-        i = stack.pop()
+    def take(self, slot: int, item: tuple[int, int]) -> None:
+        stack = self.items[slot]
+        stack.pop(bisect_left(stack, item))
         self.left -= 1
         if not stack:
             self.below[slot] = slot - 1
-        return i
 
 
 def pack(size: np.ndarray, loss: np.ndarray, capacity: int, max_segments: int, max_loss: int, look: int = 48) -> np.ndarray:
-    """Container number of every item; no item may exceed a limit by itself."""
+    """Container number of every item within all three limits.
+
+    An item that alone bears more loss than ``max_loss`` breaks that limit wherever it goes: it has a container of its own.
+    """
     out = np.full(len(size), -1, np.int64)
-    pool = _Sizes(size)
-    box = 0
+    alone = np.flatnonzero(loss > max_loss)
+    out[alone] = np.arange(len(alone))
+    ids = np.flatnonzero(loss <= max_loss)
+    pool = _Sizes(size[ids], loss[ids])
+    box = len(alone)
     while pool.left:
         room, segments, carry = capacity, max_segments, max_loss
         slot = pool.largest(room)
@@ -71,39 +81,33 @@ def pack(size: np.ndarray, loss: np.ndarray, capacity: int, max_segments: int, m
         while slot >= 0 and segments > 0:
             best, score = None, -1.0
             s, seen = slot, 0
-            while s >= 0 and seen < (1 if first else look):
-                i = pool.peek(s)
-                t, l = pool.sizes[s], int(loss[i])
-                if l <= carry:
+            while s >= 0 and (seen < (1 if first else look) or best is None):
+                # Of one size, the item with the most loss that fits has the largest dot product.
+                a = pool.most(s, carry)
+                if a is not None:
+                    t, l = pool.sizes[s], a[0]
                     # One item alone, and with the largest partner that still fits beside it.
                     dot = t / capacity * room / capacity + segments / max_segments / max_segments + l / max_loss * carry / max_loss
                     if dot > score:
-                        best, score = (s,), dot
+                        best, score = ((s, a),), dot
                     if not first and segments > 1:
                         p = pool.largest(min(room - t, t))
-                        if p == s and len(pool.items[pool.sizes[s]]) < 2:
+                        b = pool.most(p, carry - l, a if p == s else None) if p >= 0 else None
+                        if b is None and p == s:
                             p = pool.next_below(p)
-                        if p >= 0:
-                            j = pool.items[pool.sizes[p]][-2] if p == s else pool.peek(p)
-                            pt, pl = pool.sizes[p], int(loss[j])
-                            if l + pl <= carry:
-                                dot = (t + pt) / capacity * room / capacity + 2 * segments / max_segments / max_segments + (l + pl) / max_loss * carry / max_loss
-                                if dot > score + 1e-12:
-                                    best, score = (s, p), dot
+                            b = pool.most(p, carry - l) if p >= 0 else None
+                        if b is not None:
+                            dot = (t + pool.sizes[p]) / capacity * room / capacity + 2 * segments / max_segments / max_segments + (l + b[0]) / max_loss * carry / max_loss
+                            if dot > score + 1e-12:
+                                best, score = ((s, a), (p, b)), dot
                 seen += 1
                 s = pool.next_below(s)
             if best is None:
-                # Within reach all carry too much loss: look on until one fits.
-                while s >= 0 and int(loss[pool.peek(s)]) > carry:
-                    s = pool.next_below(s)
-                if s < 0:
-                    break
-                best = (s,)
-            for b in best:
-                t = pool.sizes[b]
-                i = pool.pop(b)
-                out[i] = box
-                room, segments, carry = room - t, segments - 1, carry - int(loss[i])
+                break
+            for s, item in best:
+                pool.take(s, item)
+                out[ids[item[1]]] = box
+                room, segments, carry = room - pool.sizes[s], segments - 1, carry - item[0]
             first = False
             slot = pool.largest(room)
         box += 1
@@ -120,7 +124,8 @@ def pack_documents(df: DataFrame, specs: DataFrame, ident: str = "doc_id", text:
     A document above the capacity is cut into full parts and a rest; no other
     is divided. ``max_segments`` defaults to a segment for every 16 tokens of
     capacity. Documents without tokens, null or empty, need no container and
-    have no row; repeated identifiers are packed as documents of their own.
+    have no row; repeated identifiers are packed as documents of their own. Loss-bearing tokens may fill
+    ``max_loss_share`` of a capacity; a part that alone bears more has a container of its own.
     Specs without a positive capacity are left out.
     """
     kind = dict(df.dtypes)[ident]
@@ -147,9 +152,7 @@ def pack_documents(df: DataFrame, specs: DataFrame, ident: str = "doc_id", text:
             pdf = pdf.sort_values(["tokens", "doc_id", "part"], ascending=[False, True, True], ignore_index=True)
             most = max_segments or max(1, cap // 16)
             carry = max(1, int(cap * max_loss_share))
-            # A part that alone bears more loss than the limit gets a container of its own.
-            loss = np.minimum(pdf["loss"].to_numpy(), carry)
-            pdf["box"] = pack(pdf["tokens"].to_numpy(), loss, cap, most, carry)
+            pdf["box"] = pack(pdf["tokens"].to_numpy(), pdf["loss"].to_numpy(), cap, most, carry)
             return pdf[["spec_id", "doc_id", "part", "tokens", "loss", "shard", "box"]]
 
         placed = left.withColumn("shard", shard).groupBy("spec_id", "shard").applyInPandas(run, _PLACED.format(kind=kind))
@@ -172,6 +175,19 @@ def pack_documents(df: DataFrame, specs: DataFrame, ident: str = "doc_id", text:
     return done
 
 
+def limits_report(packed: DataFrame, specs: DataFrame, max_segments: int, max_loss_share: float) -> DataFrame:
+    """(spec_id, containers, full_tokens, full_segments, full_loss, broken): how many containers each limit closes, and how many break one.
+
+    A limit closes a container that has no room for another segment, or for a twentieth more tokens or loss. A part that alone exceeds the limit of loss does not count as broken.
+    """
+    spec = specs.select(F.col("spec_id").cast("int").alias("spec_id"), F.col("capacity_tokens").cast("long").alias("capacity"))
+    boxes = packed.groupBy("spec_id", "container").agg(F.sum("tokens").alias("t"), F.count("*").alias("n"), F.sum("loss").alias("l")).join(F.broadcast(spec), "spec_id")
+    carry = F.greatest(F.lit(1), F.floor(F.col("capacity") * max_loss_share))
+    broken = (F.col("t") > F.col("capacity")) | (F.col("n") > max_segments) | ((F.col("l") > carry) & (F.col("n") > 1))
+    return boxes.groupBy("spec_id").agg(F.count("*").alias("containers"), F.count_if(F.col("t") >= 0.95 * F.col("capacity")).alias("full_tokens"), F.count_if(F.col("n") == max_segments).alias("full_segments"),
+                                        F.count_if(F.col("l") >= 0.95 * carry).alias("full_loss"), F.count_if(broken).alias("broken"))
+
+
 def fill_report(packed: DataFrame, specs: DataFrame) -> DataFrame:
     """(spec_id, capacity, documents, containers, least_containers, fill, unused_tokens) per capacity."""
     boxes = packed.groupBy("spec_id", "container").agg(F.sum("tokens").alias("t"), F.count("*").alias("n"))

@@ -71,6 +71,17 @@ def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.fill_report(p8_pack(spark, sf_dir), table(spark, sf_dir, "container_specs"))
 
 
+#: Limits of the packing for instruction data: few segments, and loss on no more than seven tenths of a container.
+SEGMENTS, LOSS_SHARE = 6, 0.7
+
+
+def p8_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same documents under limits of which each closes containers: segments and loss-bearing tokens beside tokens."""
+    specs = table(spark, sf_dir, "container_specs")
+    packed = packing.pack_documents(table(spark, sf_dir, "documents"), specs, max_segments=SEGMENTS, max_loss_share=LOSS_SHARE)
+    return packing.limits_report(packed, specs, SEGMENTS, LOSS_SHARE)
+
+
 def p9_draw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_plans"))[0]
 
@@ -98,6 +109,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p7_found": p7_found,
     "p8_pack": p8_pack,
     "p8_fill": p8_fill,
+    "p8_limits": p8_limits,
     "p9_draw": p9_draw,
     "p9_shares": p9_shares,
     "p10_found": p10_found,
