@@ -35,6 +35,15 @@ def parse_verdicts(c: Column, n: int) -> Column:
     return F.map_from_arrays(keys, F.transform(keys, lambda k: F.element_at(F.filter(pairs, lambda p: p["key"] == k), -1)["value"]))
 
 
+def parse_explanation(c: Column) -> Column:
+    """The explanation object of a reply, fenced or not; null unless every field is there with a known value and the right kind."""
+    schema = "struct<verdict:string,risk_level:string,red_flags:array<string>,explanation:string,what_to_do:array<string>,matched_pattern:string>"
+    o = F.from_json(_bare(c), schema)
+    lists = F.get_json_object(_bare(c), "$.red_flags").startswith("[") & F.get_json_object(_bare(c), "$.what_to_do").startswith("[")
+    good = o["verdict"].isin("safe", "suspicious", "scam") & o["risk_level"].isin("low", "medium", "high") & o["explanation"].isNotNull() & o["red_flags"].isNotNull() & o["what_to_do"].isNotNull() & lists
+    return F.when(good, o)
+
+
 def fill_template(template: Column, values: dict[str, Column]) -> Column:
     for k, v in values.items():
         template = F.replace(template, F.lit("{" + k + "}"), F.coalesce(v.cast("string"), F.lit("")))

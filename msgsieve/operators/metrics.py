@@ -4,11 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .ranks import join_null_safe, score_bucket
+
 
 def _one(by: list[str]):
     return Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1))
 
 
+def _buckets(s: DataFrame, by: list[str], score: str) -> tuple[DataFrame, DataFrame]:
+    """Distinct scores with their bucket, and per group a table of at most 16,384 buckets with sums and the highest score."""
+    s = s.withColumn("__b", score_bucket(F.col(score)))
+    return s, s.groupBy(*by, "__b").agg(F.sum("p").alias("__p"), F.sum("c").alias("__c"), F.max(score).alias("__top"))
+
+
 def confusion(df: DataFrame, threshold: float = 0.5, y: str = "y", score: str = "score", by: list[str] | None = None, strict: bool = False) -> DataFrame:
     """tn, fp, fn, tp, n, n_scam, precision, recall, f1; a row is flagged from the threshold on, or above it if ``strict``."""
     by = by or []
@@ -26,7 +34,12 @@ def roc_auc(df: DataFrame, y: str = "y", score: str = "score", by: list[str] | N
     """Mann-Whitney with ties counted half, from one aggregate per distinct score."""
     by = by or []
     s = df.groupBy(*by, score).agg(F.sum(y).alias("p"), F.count("*").alias("c"))
-    below = F.coalesce(F.sum(F.col("c") - F.col("p")).over(_one(by).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    s, small = _buckets(s, by, score)
+    low = F.sum(F.col("__c") - F.col("__p")).over(_one(by).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1))
+    small = small.select(*by, "__b", F.coalesce(low, F.lit(0)).alias("__base"))
+    inner = F.sum(F.col("c") - F.col("p")).over(Window.partitionBy(*by, "__b").orderBy(score).rowsBetween(Window.unboundedPreceding, -1))
+    s = join_null_safe(s.withColumn("__in", F.coalesce(inner, F.lit(0))), small, [*by, "__b"])
+    below = F.col("__base") + F.col("__in")
     s = s.withColumn("u", F.col("p") * (below + (F.col("c") - F.col("p")) / 2))
     g = s.groupBy(*by).agg(F.sum("u").alias("u"), F.sum("p").alias("n1"), F.sum(F.col("c") - F.col("p")).alias("n0"))
     return g.select(*by, F.when((F.col("n1") > 0) & (F.col("n0") > 0), F.col("u") / (F.col("n1") * F.col("n0"))).alias("roc_auc"))
@@ -36,9 +49,16 @@ def curve(df: DataFrame, y: str = "y", score: str = "score", by: list[str] | Non
     """(score, tp, flagged, positives, precision, recall, f1, next_lower) at every distinct score."""
     by = by or []
     s = df.groupBy(*by, score).agg(F.sum(y).alias("p"), F.count("*").alias("c"))
-    w = _one(by).orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0)
-    s = s.withColumn("tp", F.sum("p").over(w)).withColumn("flagged", F.sum("c").over(w)).withColumn("positives", F.sum("p").over(_one(by)))
-    s = s.withColumn("next_lower", F.lead(score).over(_one(by).orderBy(F.desc(score))))
+    s, small = _buckets(s, by, score)
+    down = _one(by).orderBy(F.desc("__b"))
+    base = down.rowsBetween(Window.unboundedPreceding, -1)
+    small = small.select(*by, "__b", F.coalesce(F.sum("__p").over(base), F.lit(0)).alias("__tp"), F.coalesce(F.sum("__c").over(base), F.lit(0)).alias("__flagged"), F.sum("__p").over(_one(by)).alias("positives"), F.lead("__top").over(down).alias("__next"))
+    w = Window.partitionBy(*by, "__b").orderBy(F.desc(score))
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    s = s.withColumn("__ip", F.sum("p").over(upto)).withColumn("__ic", F.sum("c").over(upto)).withColumn("__lead", F.lead(score).over(w))
+    s = join_null_safe(s, small, [*by, "__b"])
+    s = s.withColumn("tp", F.col("__tp") + F.col("__ip")).withColumn("flagged", F.col("__flagged") + F.col("__ic")).withColumn("next_lower", F.coalesce("__lead", "__next"))
+    s = s.drop("__b", "__ip", "__ic", "__lead", "__tp", "__flagged", "__next")
     s = s.withColumn("precision", F.col("tp") / F.col("flagged")).withColumn("recall", F.when(F.col("positives") > 0, F.col("tp") / F.col("positives")))
     return s.withColumn("f1", F.when(F.col("positives") > 0, 2 * F.col("tp") / (F.col("flagged") + F.col("positives"))))
 
@@ -53,9 +73,9 @@ def average_precision(df: DataFrame, y: str = "y", score: str = "score", by: lis
 def best_f1_threshold(df: DataFrame, y: str = "y", score: str = "score", by: list[str] | None = None) -> DataFrame:
     """(threshold, f1): highest F1, ties to the higher score, halfway to the next lower score; one class gives 0."""
     by = by or []
-    c = curve(df, y, score, by).withColumn("all", F.sum("c").over(_one(by)))
+    c = curve(df, y, score, by)
     mid = F.coalesce((F.col(score) + F.col("next_lower")) / 2, F.col(score))
-    g = c.groupBy(*by).agg(F.max_by(F.struct(mid.alias("m"), F.col("f1").alias("f")), F.struct("f1", score)).alias("b"), F.max("positives").alias("np"), F.max("all").alias("n"))
+    g = c.groupBy(*by).agg(F.max_by(F.struct(mid.alias("m"), F.col("f1").alias("f")), F.struct("f1", score)).alias("b"), F.max("positives").alias("np"), F.sum("c").alias("n"))
     one = (F.col("np") == 0) | (F.col("np") == F.col("n"))
     return g.select(*by, F.when(one, 0.0).otherwise(F.col("b.m")).alias("threshold"), F.when(~one, F.col("b.f")).alias("f1"))
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .ranks import ranked
+
 
 def hash_order(seed: str, key: str = "pos") -> Column:
     """A repeatable random order that any SQL engine can follow."""
@@ -43,18 +45,17 @@ def stratified_split(df: DataFrame, seed: str = "42", key: str = "pos", val: flo
     o = hash_order(seed, key)
     d = df.withColumn("__o", o)
     real = ~F.col("is_synthetic") if real_only_test else F.lit(True)
-    d = d.withColumn("__r", F.row_number().over(Window.partitionBy(by, real).orderBy("__o"))).withColumn("__real", real)
+    d = ranked(d.withColumn("__real", real), [by, "__real"], F.col("__o"), "__r")
     d = d.join(F.broadcast(quota), by)
     d = d.withColumn("__test", F.col("__real") & (F.col("__r") <= F.col("test_n")))
-    d = d.withColumn("__v", F.row_number().over(Window.partitionBy(by, "__test").orderBy("__o")))
+    d = ranked(d, [by, "__test"], o, "__v")
     split = F.when(F.col("__test"), "test").when(F.col("__v") <= F.col("val_n"), "val").otherwise("train")
     return d.withColumn("split", split).drop("__o", "__r", "__real", "__test", "__v", "test_n", "val_n")
 
 
 def folds(df: DataFrame, k: int = 5, seed: str = "folds", key: str = "pos", by: str = "label") -> DataFrame:
     """Adds fold: 0 to k-1, balanced within ``by``."""
-    r = F.row_number().over(Window.partitionBy(by).orderBy(hash_order(seed, key)))
-    return df.withColumn("fold", ((r - 1) % k).cast("int"))
+    return ranked(df, [by], hash_order(seed, key), "__r").withColumn("fold", ((F.col("__r") - 1) % k).cast("int")).drop("__r")
 
 
 def sample_per_group(df: DataFrame, n: int, by: list[str], seed: str = "sample", key: str = "pos") -> DataFrame:
@@ -73,10 +74,9 @@ def round_robin_sample(df: DataFrame, n: int, label: str = "label", over: str =
 def quota_sample(df: DataFrame, action: str, n: int, seed: str = "review", key: str = "row_id") -> DataFrame:
     """A third flips, a third removals, the rest keeps; what a group lacks is filled from the left-overs."""
     quota = F.when(F.col(action).isin("flip", "remove"), n // 3).otherwise(n - 2 * (n // 3))
-    r = F.row_number().over(Window.partitionBy(action).orderBy(hash_order(seed, key)))
-    d = df.withColumn("__first", r <= quota)
-    q = F.row_number().over(Window.orderBy(F.desc("__first"), hash_order(seed, key)))
-    return d.withColumn("__q", q).where(F.col("__q") <= n).drop("__first", "__q")
+    d = ranked(df, [action], hash_order(seed, key), "__r").withColumn("__first", F.col("__r") <= quota)
+    # A top-n: every partition keeps its own before they meet.
+    return d.orderBy(F.desc("__first"), hash_order(seed, key), key).limit(n).drop("__first", "__r")
 
 
 def length_batches(df: DataFrame, length: str, batch: int, mega: int = 50, seed: str = "batches", key: str = "pos") -> DataFrame:
@@ -84,8 +84,8 @@ def length_batches(df: DataFrame, length: str, batch: int, mega: int = 50, seed:
 
     The groups are hash buckets, so that no order over all rows is needed.
     """
-    d = df.withColumn("__h", F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(1 << 20)))
+    d = df.withColumn("__h", F.conv(F.substring(hash_order(seed, key), 1, 8), 16, 10).cast("double"))
     groups = d.agg(F.greatest(F.lit(1), F.ceil(F.count("*") / (batch * mega))).alias("g"))
-    d = d.crossJoin(F.broadcast(groups)).withColumn("__g", F.floor(F.col("__h") * F.col("g") / (1 << 20)))
+    d = d.crossJoin(F.broadcast(groups)).withColumn("__g", F.floor(F.col("__h") / 4294967296.0 * F.col("g")))
     r = F.row_number().over(Window.partitionBy("__g").orderBy(length, key))
     return d.withColumn("batch", F.concat_ws("-", F.col("__g").cast("string"), F.floor((r - 1) / batch).cast("string"))).drop("__h", "__g", "g")

@@ -162,11 +162,13 @@ def q_score_urls(spark, d):
     return ur.score_urls(_links(spark, d), table(spark, d, "blocklist")).select("pos", "n", "url", F.round("score", 6).alias("score"), "band", "reasons")
 
 
-@query("""WITH l AS (SELECT pos, unnest(urls) AS url FROM combined), n AS (SELECT pos, lower(regexp_extract(trim(url), '^([A-Za-z][A-Za-z0-9+.-]*)://', 1)) || '://' || lower(regexp_extract(regexp_replace(trim(url), '^[A-Za-z][A-Za-z0-9+.-]*://', ''), '^[^/?#]*', 0)) || regexp_replace(regexp_extract(regexp_replace(trim(url), '^[A-Za-z][A-Za-z0-9+.-]*://', ''), '^[^/?#]*([^?#]*)', 1), '/+$', '') AS k FROM l),
+@query("""WITH l AS (SELECT pos, unnest(urls) AS url FROM combined UNION ALL SELECT -phish_id, url || '/' FROM blocklist WHERE NOT contains(url, '?')), n AS (SELECT pos, lower(regexp_extract(trim(url), '^([A-Za-z][A-Za-z0-9+.-]*)://', 1)) || '://' || lower(regexp_extract(regexp_replace(trim(url), '^[A-Za-z][A-Za-z0-9+.-]*://', ''), '^[^/?#]*', 0)) || regexp_replace(regexp_extract(regexp_replace(trim(url), '^[A-Za-z][A-Za-z0-9+.-]*://', ''), '^[^/?#]*([^?#]*)', 1), '/+$', '') AS k FROM l),
   b AS (SELECT DISTINCT lower(regexp_extract(trim(url), '^([A-Za-z][A-Za-z0-9+.-]*)://', 1)) || '://' || lower(regexp_extract(regexp_replace(trim(url), '^[A-Za-z][A-Za-z0-9+.-]*://', ''), '^[^/?#]*', 0)) || regexp_replace(regexp_extract(regexp_replace(trim(url), '^[A-Za-z][A-Za-z0-9+.-]*://', ''), '^[^/?#]*([^?#]*)', 1), '/+$', '') AS k FROM blocklist WHERE url IS NOT NULL)
   SELECT pos, count(*) AS listed FROM n SEMI JOIN b USING (k) GROUP BY pos""")
 def q_blocklisted(spark, d):
-    l = _links(spark, d).withColumn("k", ur.normalized(F.col("url")))
+    # The listed links themselves, written another way, show that the forms meet.
+    listed = table(spark, d, "blocklist").where(~F.col("url").contains("?")).select((-F.col("phish_id")).alias("pos"), F.concat("url", F.lit("/")).alias("url"))
+    l = _links(spark, d).select("pos", "url").unionByName(listed).withColumn("k", ur.normalized(F.col("url")))
     b = table(spark, d, "blocklist").where("url is not null").select(ur.normalized(F.col("url")).alias("k")).distinct()
     return l.join(b, "k", "left_semi").groupBy("pos").agg(F.count("*").alias("listed"))
 
@@ -220,30 +222,6 @@ def q_similar_pairs(spark, d):
     return similarity.similar_pairs(_docs(spark, d), "doc_id", "text", 0.8).select("i", "j", F.round("sim", 6).alias("sim"))
 
 
-@query()
-def q_sensitivity(spark, d):
-    return similarity.sensitivity(materialize(similarity.similar_pairs(_docs(spark, d), "doc_id", "text", 0.8), "pairs"))
-
-
-@query()
-def q_near_duplicate_clusters(spark, d):
-    c = _c(spark, d)
-    pairs = materialize(similarity.similar_pairs(c, "pos", "text", 0.9), "pairs")
-    return similarity.near_duplicate_clusters(c, pairs).select("pos", "cluster", "cluster_size", "mixed_labels", "copy_no")
-
-
-@query()
-def q_near_duplicate_report(spark, d):
-    c = _c(spark, d)
-    pairs = materialize(similarity.similar_pairs(c, "pos", "text", 0.9), "pairs")
-    return similarity.near_duplicate_report(similarity.near_duplicate_clusters(c, pairs))
-
-
-@query()
-def q_leakage_audit(spark, d):
-    return similarity.leakage_audit(_c(spark, d).where("split is not null"))
-
-
 @query()
 def q_trim_cross_split(spark, d):
     kept, _ = similarity.trim_cross_split(_c(spark, d).where("split is not null").select("pos", "text", "split"))
@@ -258,17 +236,6 @@ def q_connected_components(spark, d):
     return connected_components(e)
 
 
-@query()
-def q_strata(spark, d):
-    return splits.strata(_c(spark, d)).groupBy("stratum").agg(F.count("*").alias("rows"))
-
-
-@query()
-def q_stratified_split(spark, d):
-    s = splits.stratified_split(splits.strata(_c(spark, d).drop("split")))
-    return s.groupBy("split", "stratum").agg(F.count("*").alias("rows"), F.count_if("is_synthetic").alias("synthetic"))
-
-
 @query("SELECT pos, ((row_number() OVER (PARTITION BY label ORDER BY md5('folds:' || pos)) - 1) % 5)::BIGINT AS fold FROM combined")
 def q_folds(spark, d):
     return splits.folds(_c(spark, d)).select("pos", F.col("fold").cast("long").alias("fold"))
@@ -289,12 +256,6 @@ def q_quota_sample(spark, d):
     return splits.quota_sample(table(spark, d, "audit_decisions"), "action", 30).select("row_id", "action")
 
 
-@query()
-def q_length_batches(spark, d):
-    c = _c(spark, d).select("pos", F.length("text").alias("n"))
-    return splits.length_batches(c, "n", 32).groupBy("batch").agg(F.count("*").alias("rows"), F.max("n").cast("long").alias("longest"))
-
-
 # ---------------------------------------------------------------- statistics
 @query("SELECT l.label, count(c.label) AS rows, count(c.label)::DOUBLE / (SELECT count(*) FROM combined) AS share FROM (VALUES ('safe'), ('scam')) l(label) LEFT JOIN combined c ON c.label = l.label GROUP BY l.label")
 def q_class_counts(spark, d):
@@ -421,13 +382,13 @@ def q_cell_weights(spark, d):
 
 @query()
 def q_bootstrap(spark, d):
-    return metrics.bootstrap(_scores(_c(spark, d)), 0.6, 100)
+    return metrics.bootstrap(_scores(_c(spark, d)), 0.6, 1_000)
 
 
 @query()
 def q_paired_bootstrap(spark, d):
     s = _scores(_c(spark, d)).withColumn("other", F.col("score") * 0.9)
-    return metrics.paired_bootstrap(s, "score", "other", 0.6, 0.6, 100)
+    return metrics.paired_bootstrap(s, "score", "other", 0.6, 0.6, 1_000)
 
 
 # ---------------------------------------------------------------- audit and feedback joins
@@ -469,11 +430,6 @@ def q_agreement(spark, d):
     return audit.agreement(f.select(F.col("id").alias("row_id"), "user_verdict"), f.select(F.col("id").alias("row_id"), "predicted_verdict"), "user_verdict", "predicted_verdict")
 
 
-@query()
-def q_first_topic(spark, d):
-    return audit.first_topic(table(spark, d, "synthetic_batches"))
-
-
 @query(r"""WITH m AS (SELECT batch_key, created_at, batch_no, unnest(messages) AS message, unnest(range(len(messages))) AS i FROM synthetic_batches), k AS (SELECT *, length(trim(coalesce(message, ''))) NOT BETWEEN 15 AND 700 AS bad, trim(regexp_replace(replace(replace(lower(coalesce(message, '')), 'ß', 'ss'), 'ς', 'σ'), '\s+', ' ', 'g')) AS k FROM m),
   r AS (SELECT *, row_number() OVER (PARTITION BY k, bad ORDER BY created_at, batch_no, batch_key, i) AS r FROM k) SELECT CASE WHEN bad THEN 'length' WHEN r > 1 THEN 'duplicate' END AS reason, count(*) AS rows FROM r GROUP BY 1""")
 def q_load_batches(spark, d):
@@ -508,45 +464,11 @@ def q_enrich_feedback(spark, d):
 
 
 # ---------------------------------------------------------------- retrieval
-def _kb(spark, d):
-    e = table(spark, d, "embeddings")
-    return e.where("vec_id >= 25"), e.where("vec_id < 25").select(F.col("vec_id").alias("entry_id"), "embedding")
-
-
-_DOT = "list_dot_product(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) / sqrt(list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[])) / sqrt(list_dot_product(e.embedding::DOUBLE[], e.embedding::DOUBLE[]))"
-
-
-@query(f"""WITH s AS (SELECT q.vec_id, e.vec_id AS entry_id, round({_DOT}, 9) AS similarity FROM embeddings q, embeddings e WHERE q.vec_id >= 25 AND e.vec_id < 25), r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY similarity DESC, entry_id) AS rank, max(similarity) OVER (PARTITION BY vec_id) >= 0.49 AS confident FROM s)
-  SELECT vec_id, rank, entry_id, round(similarity, 6) AS similarity, confident FROM r WHERE rank <= 3""")
-def q_nearest(spark, d):
-    q, e = _kb(spark, d)
-    return retrieval.nearest(q, e).select("vec_id", F.col("rank").cast("long").alias("rank"), "entry_id", F.round("similarity", 6).alias("similarity"), "confident")
-
-
-@query(f"""WITH s AS (SELECT q.vec_id, e.vec_id AS entry_id, round({_DOT}, 9) AS similarity FROM embeddings q, embeddings e WHERE q.vec_id >= 25 AND e.vec_id < 25), r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY similarity DESC, entry_id) AS rank FROM s), m AS (SELECT vec_id, bool_or(rank = 1 AND entry_id = vec_id % 25) AS a, bool_or(entry_id = vec_id % 25) AS b FROM r WHERE rank <= 3 GROUP BY vec_id)
-  SELECT count(*) AS n, count(*) FILTER (a)::DOUBLE / count(*) AS top1, count(*) FILTER (b)::DOUBLE / count(*) AS top3 FROM m""")
-def q_hit_rates(spark, d):
-    q, e = _kb(spark, d)
-    truth = q.select("vec_id", F.pmod("vec_id", F.lit(25)).alias("expected"))
-    return retrieval.hit_rates(retrieval.nearest(q, e), truth)
-
-
-@query(f"WITH {SCORES}, t AS (SELECT unnest([0.2, 0.5, 0.8])::DOUBLE AS threshold), g AS (SELECT threshold, avg((score >= threshold)::INT::DOUBLE) AS accept_rate, count(*) FILTER (score >= threshold AND y = 1)::DOUBLE / nullif(count(*) FILTER (score >= threshold), 0) AS precision FROM scores, t GROUP BY threshold) SELECT threshold, round(accept_rate, 9) AS accept_rate, round(precision, 9) AS precision, round(CASE WHEN precision IS NULL THEN accept_rate ELSE (accept_rate + precision) / 2 END, 9) AS score FROM g")
-def q_threshold_sweep(spark, d):
-    r = _scores(_c(spark, d)).withColumn("correct", F.col("y") == 1)
-    return _rounded(retrieval.threshold_sweep(r, [0.2, 0.5, 0.8], "score"), "accept_rate", "precision", "score")
-
-
 @query("SELECT id, array_to_string(list_concat(list_concat([name], coalesce(typical_phrases, [])), [how_it_works]), E'\\n') AS document FROM knowledge_base")
 def q_compose_documents(spark, d):
     return retrieval.compose_documents(table(spark, d, "knowledge_base"))
 
 
-@query()
-def q_kb_problems(spark, d):
-    return retrieval.kb_problems(table(spark, d, "knowledge_base"))
-
-
 # ---------------------------------------------------------------- features and scoring
 @query()
 def q_top_weights(spark, d):
@@ -573,16 +495,6 @@ def q_upsert(spark, d):
     return sinks.upsert(f.where("id % 2 = 0"), f.where("id % 2 = 1"), "prediction_id", "arrived_at").select("id", "prediction_id", "user_verdict")
 
 
-@query()
-def q_log_lines(spark, d):
-    return sinks.log_lines(table(spark, d, "events"))
-
-
-@query()
-def q_rate_limit(spark, d):
-    return stateful.rate_limit(table(spark, d, "events"), 2, 86_400.0)
-
-
 @query("SELECT l.event_id AS lookup, max_by(p.event_id, (p.ts, p.event_id)) AS prediction FROM events l JOIN events p ON l.user_id = p.user_id AND p.ts <= l.ts AND l.ts < p.ts + INTERVAL 24 HOURS WHERE l.event_type = 'click' AND p.event_type = 'view' GROUP BY l.event_id")
 def q_cached_predictions(spark, d):
     e = table(spark, d, "events")

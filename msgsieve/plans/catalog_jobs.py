@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import styles, text as tx, urls as ur
-from ..operators import audit, features, levels, metrics, protocol, triage, verdict
+from ..operators import audit, features, levels, metrics, protocol, retrieval, similarity, triage, verdict
 from ..operators import splits as sp
 from ..session import materialize, table
+from ..sources import sinks
+from ..streaming import stateful
 from . import catalog, pipeline
 from .catalog import FLAGSHIP, QUERIES, SCORES, _c, _links, _rounded, _scores, query
 
@@ -361,4 +363,176 @@ def q_analyze_messages(spark, d):
     return e.select("pos", "source", "tag", "worst", "worst_score", "margin", "scam_probability", "is_scam", "verdict", "risk_level", "explanation", verdict.sanitize_list(F.col("red_flags")).alias("red_flags"), "what_to_do")
 
 
+# ---------------------------------------------------------------- retrieval
+_UNIT = "list_transform(embedding::DOUBLE[], lambda x: x / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])))"
+_NEAR = f"""u AS (SELECT vec_id, label, {_UNIT} AS e FROM embeddings), s AS (SELECT q.vec_id, q.label, e.vec_id AS entry_id, e.label AS entry_label, round(list_dot_product(q.e, e.e), 9) AS similarity FROM u q, u e WHERE q.vec_id % 100 = 0 AND e.vec_id <> q.vec_id),
+  r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY similarity DESC, entry_id) AS rank FROM s)"""
+
+
+def _searched(spark, d):
+    """Every embedding whose identifier is divisible by 100, against all embeddings."""
+    e = table(spark, d, "embeddings").select("vec_id", "embedding")
+    return retrieval.nearest(e.where("vec_id % 100 = 0"), e.withColumnRenamed("vec_id", "entry_id"), apart=True)
+
+
+@query(f"WITH {_NEAR} SELECT vec_id, rank, entry_id, round(similarity, 6) AS similarity, max(similarity) OVER (PARTITION BY vec_id) >= 0.49 AS confident FROM r WHERE rank <= 3")
+def q_nearest(spark, d):
+    return _searched(spark, d).select("vec_id", F.col("rank").cast("long").alias("rank"), "entry_id", F.round("similarity", 6).alias("similarity"), "confident")
+
+
+_HITS = "m AS (SELECT vec_id, label AS origin, bool_or(rank = 1 AND entry_label = label) AS a, bool_or(entry_label = label) AS b FROM r WHERE rank <= 3 GROUP BY ALL)"
+
+
+def _judged(spark, d):
+    """The searched rows with the entries' labels in place of their identifiers: a hit is an entry of the query's label."""
+    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("entry_id"), F.col("label").alias("entry_label"))
+    return _searched(spark, d).join(e, "entry_id").select("vec_id", "rank", "similarity", F.col("entry_label").alias("entry_id"))
+
+
+@query(f"WITH {_NEAR}, {_HITS} SELECT origin, count(*) AS n, count(*) FILTER (a)::DOUBLE / count(*) AS top1, count(*) FILTER (b)::DOUBLE / count(*) AS top3 FROM m GROUP BY ROLLUP(origin)")
+def q_hit_rates(spark, d):
+    q = table(spark, d, "embeddings").where("vec_id % 100 = 0").select("vec_id", F.col("label").alias("origin"), F.col("label").alias("expected"))
+    return retrieval.hit_rates_by(_judged(spark, d), q, "origin")
+
+
+#: Candidates of the threshold of retrieval.
+CANDIDATES = [round(0.25 + 0.02 * i, 2) for i in range(23)]
+_SWEEP = f"""{_NEAR}, t AS (SELECT unnest([{", ".join(map(str, CANDIDATES))}])::DOUBLE AS threshold), f AS (SELECT similarity, entry_label = label AS correct FROM r WHERE rank = 1),
+  g AS (SELECT threshold, avg((similarity >= threshold)::INT::DOUBLE) AS accept_rate, count(*) FILTER (similarity >= threshold AND correct)::DOUBLE / nullif(count(*) FILTER (similarity >= threshold), 0) AS precision FROM f, t GROUP BY threshold),
+  w AS (SELECT threshold, accept_rate, precision, CASE WHEN precision IS NULL THEN accept_rate ELSE (accept_rate + precision) / 2 END AS score FROM g)"""
+
+
+def _swept(spark, d):
+    own = table(spark, d, "embeddings").select("vec_id", "label")
+    first = _judged(spark, d).where("rank = 1").join(own, "vec_id").withColumn("correct", F.col("entry_id") == F.col("label"))
+    return retrieval.threshold_sweep(first, CANDIDATES)
+
+
+@query(f"WITH {_SWEEP} SELECT threshold, round(accept_rate, 9) AS accept_rate, round(precision, 9) AS precision, round(score, 9) AS score FROM w")
+def q_threshold_sweep(spark, d):
+    return _rounded(_swept(spark, d), "accept_rate", "precision", "score")
+
+
+@query(f"WITH {_SWEEP} SELECT threshold, round(score, 9) AS score FROM w ORDER BY score DESC, threshold DESC LIMIT 1")
+def q_best_threshold(spark, d):
+    return _rounded(retrieval.best_threshold(_rounded(_swept(spark, d), "score")), "score")
+
+
+@query("""WITH k AS (SELECT id, unnest(list_filter([CASE WHEN id IS NULL OR NOT regexp_matches(id, '^[a-z][a-z0-9_]*$') THEN 'bad_id' END, CASE WHEN trim(coalesce(name, '')) = '' THEN 'blank_name' END, CASE WHEN coalesce(len(typical_phrases), -1) <= 0 THEN 'no_phrases' END,
+  CASE WHEN coalesce(len(red_flags), -1) <= 0 THEN 'no_flags' END], lambda x: x IS NOT NULL)) AS problem FROM (SELECT lower(replace(name, ' ', '-')) AS id, CASE WHEN length(name) % 3 = 0 THEN ' ' ELSE name END AS name, CASE WHEN length(name) % 2 = 0 THEN typical_phrases ELSE [] END AS typical_phrases, red_flags FROM knowledge_base))
+  SELECT problem, count(*) AS rows FROM k GROUP BY problem UNION ALL SELECT 'duplicate_id', count(*) FROM (SELECT lower(replace(name, ' ', '-')) AS id FROM knowledge_base) GROUP BY id HAVING count(*) > 1""")
+def q_kb_problems(spark, d):
+    """The knowledge base with faults put in: identifiers made of names, some names and lists blank."""
+    k, n = table(spark, d, "knowledge_base"), F.length("name")
+    broken = k.select(F.lower(F.replace("name", F.lit(" "), F.lit("-"))).alias("id"), F.when(n % 3 == 0, " ").otherwise(F.col("name")).alias("name"),
+                      F.when(n % 2 == 0, F.col("typical_phrases")).otherwise(F.array().cast("array<string>")).alias("typical_phrases"), "red_flags")
+    return retrieval.kb_problems(broken)
+
+
+# ---------------------------------------------------------------- twins of splits, orders and streams
+@query(r"""WITH m AS (SELECT topic, created_at, batch_no, unnest(messages) AS m, unnest(range(len(messages))) AS i FROM synthetic_batches), k AS (SELECT *, trim(regexp_replace(replace(replace(lower(m), 'ß', 'ss'), 'ς', 'σ'), '\s+', ' ', 'g')) AS text_key, row_number() OVER (PARTITION BY trim(regexp_replace(replace(replace(lower(m), 'ß', 'ss'), 'ς', 'σ'), '\s+', ' ', 'g')) ORDER BY created_at, batch_no, i) AS r FROM m WHERE trim(m) <> '')
+  SELECT text_key, topic FROM k WHERE r = 1""")
+def q_first_topic(spark, d):
+    return audit.first_topic(table(spark, d, "synthetic_batches"))
+
+
+@query("SELECT event_id, event_type, value FROM events")
+def q_log_lines(spark, d):
+    """Events as JSON lines of the allowed fields, read back."""
+    lines = sinks.log_lines(table(spark, d, "events"), ["event_id", "event_type", "value"])
+    return lines.select(F.from_json("line", "event_id bigint, event_type string, value double").alias("o")).select("o.*")
+
+
+_STRATA = """f AS (SELECT *, concat_ws('|', label, source) AS s1 FROM combined), n AS (SELECT *, CASE WHEN count(*) OVER (PARTITION BY s1) < 10 THEN concat_ws('|', label, 'other') ELSE s1 END AS s2 FROM f),
+  z AS (SELECT label, s2, count(*) AS c FROM n GROUP BY ALL), top AS (SELECT label, max_by(s2, (c, s2)) AS t FROM z WHERE NOT ends_with(s2, '|other') GROUP BY label),
+  st AS (SELECT n.*, CASE WHEN z.c < 2 THEN coalesce(top.t, n.label) ELSE n.s2 END AS stratum FROM n JOIN z USING (label, s2) LEFT JOIN top USING (label))"""
+
+
+@query(f"WITH {_STRATA} SELECT stratum, count(*) AS rows FROM st GROUP BY stratum")
+def q_strata(spark, d):
+    return sp.strata(_c(spark, d)).groupBy("stratum").agg(F.count("*").alias("rows"))
+
+
+@query(f"""WITH {_STRATA}, per AS (SELECT stratum, count(*) AS n, count(*) FILTER (NOT is_synthetic) AS real FROM st GROUP BY stratum), tot AS (SELECT sum(n)::DOUBLE AS a, sum(real)::DOUBLE AS r FROM per),
+  q AS (SELECT stratum, round_even(0.15 * a, 0) AS want, round_even(0.15 * a, 0) * real / r AS ti, round_even(0.15 * a, 0) * n / a AS vi FROM per, tot),
+  x AS (SELECT stratum, floor(ti) + (row_number() OVER (ORDER BY ti - floor(ti) DESC, stratum) <= want - sum(floor(ti)) OVER ())::INT AS tn, floor(vi) + (row_number() OVER (ORDER BY vi - floor(vi) DESC, stratum) <= want - sum(floor(vi)) OVER ())::INT AS vn FROM q),
+  o AS (SELECT st.*, x.tn, x.vn, NOT is_synthetic AND row_number() OVER (PARTITION BY stratum, NOT is_synthetic ORDER BY md5('42:' || pos)) <= x.tn AS test FROM st JOIN x USING (stratum)),
+  v AS (SELECT *, row_number() OVER (PARTITION BY stratum, test ORDER BY md5('42:' || pos)) AS r FROM o)
+  SELECT pos, CASE WHEN test THEN 'test' WHEN r <= vn THEN 'val' ELSE 'train' END AS split, stratum FROM v""")
+def q_stratified_split(spark, d):
+    return sp.stratified_split(sp.strata(_c(spark, d).drop("split"))).select("pos", "split", "stratum")
+
+
+@query("""WITH g AS (SELECT pos, length(text) AS n, floor(('0x' || substr(md5('batches:' || pos), 1, 8))::BIGINT / 4294967296.0 * (SELECT greatest(1, ceil(count(*) / 1600.0)) FROM combined))::BIGINT AS g FROM combined), r AS (SELECT *, (row_number() OVER (PARTITION BY g ORDER BY n, pos) - 1) // 32 AS b FROM g)
+  SELECT g || '-' || b AS batch, count(*) AS rows, max(n) AS longest FROM r GROUP BY 1""")
+def q_length_batches(spark, d):
+    c = _c(spark, d).select("pos", F.length("text").alias("n"))
+    return sp.length_batches(c, "n", 32).groupBy("batch").agg(F.count("*").alias("rows"), F.max("n").cast("long").alias("longest"))
+
+
+@query("""WITH RECURSIVE e AS (SELECT event_id, event_type AS b, user_id AS c, epoch(ts)::DOUBLE AS t, row_number() OVER (PARTITION BY event_type, user_id ORDER BY ts, event_id) AS k FROM events WHERE ts IS NOT NULL),
+  r AS (SELECT event_id, b, c, k, true AS accepted, 0.0::DOUBLE AS retry_after, t AS t1, NULL::DOUBLE AS t2 FROM e WHERE k = 1
+    UNION ALL SELECT n.event_id, n.b, n.c, n.k, NOT full_now, CASE WHEN full_now THEN round(f1 + 86400.0 - n.t, 6) ELSE 0.0 END, CASE WHEN full_now THEN f1 WHEN f1 IS NULL THEN n.t ELSE f1 END, CASE WHEN full_now THEN f2 WHEN f1 IS NULL THEN NULL ELSE n.t END
+      FROM (SELECT e.*, CASE WHEN r.t1 > e.t - 86400.0 THEN r.t1 WHEN r.t2 > e.t - 86400.0 THEN r.t2 END AS f1, CASE WHEN r.t1 > e.t - 86400.0 AND r.t2 > e.t - 86400.0 THEN r.t2 END AS f2, coalesce(r.t1 > e.t - 86400.0 AND r.t2 > e.t - 86400.0, false) AS full_now FROM r JOIN e ON e.b = r.b AND e.c = r.c AND e.k = r.k + 1) n)
+  SELECT event_id, accepted, retry_after FROM r""")
+def q_rate_limit(spark, d):
+    return stateful.rate_limit(table(spark, d, "events"), 2, 86_400.0)
+
+
+# ---------------------------------------------------------------- near duplicates on the message table
+_VEC = r"""t AS (SELECT pos AS doc, split, label, is_synthetic, regexp_extract_all(substr(regexp_replace(replace(replace(lower(text), 'ß', 'ss'), 'ς', 'σ'), '\p{Nd}+', '0', 'g'), 1, 3000), '[\p{L}\p{N}_][\p{L}\p{N}_]+') AS w FROM combined),
+  g AS (SELECT doc, unnest(list_concat(w, list_transform(range(1, greatest(len(w), 1)), lambda i: w[i] || ' ' || w[i + 1]))) AS term FROM t), f AS MATERIALIZED (SELECT doc, term, count(*) AS tf FROM g GROUP BY ALL)"""
+
+
+def _pairs_sql(part: str) -> str:
+    """Pairs of cosine 0.9 or more among the documents of ``part`` (doc)."""
+    return f"""p AS MATERIALIZED ({part}), d AS (SELECT term, ln((1 + (SELECT count(*) FROM p))::DOUBLE / (1 + count(*))) + 1 AS idf FROM f SEMI JOIN p USING (doc) GROUP BY term), x AS (SELECT doc, term, (1 + ln(tf)) * idf AS x FROM f SEMI JOIN p USING (doc) JOIN d USING (term)),
+      v AS MATERIALIZED (SELECT doc, term, x / sqrt(sum(x * x) OVER (PARTITION BY doc)) AS w FROM x), s AS MATERIALIZED (SELECT a.doc AS i, b.doc AS j, round(sum(a.w * b.w), 9) AS sim FROM v a JOIN v b ON a.term = b.term AND a.doc < b.doc GROUP BY ALL HAVING sum(a.w * b.w) >= 0.9 - 1e-12)"""
+
+
+_CLUSTERS = f"""RECURSIVE {_VEC}, {_pairs_sql("SELECT doc FROM t")}, n AS (SELECT i AS a, j AS b FROM s UNION SELECT j, i FROM s), r AS (SELECT a AS node, a AS root FROM n UNION SELECT n.b, r.root FROM r JOIN n ON r.node = n.a), comp AS (SELECT node, min(root) AS c FROM r GROUP BY node),
+  k AS (SELECT t.doc, coalesce(comp.c, t.doc) AS c, t.label, t.is_synthetic FROM t LEFT JOIN comp ON comp.node = t.doc), z AS (SELECT *, count(*) OVER (PARTITION BY c) AS size, min(label) OVER (PARTITION BY c) <> max(label) OVER (PARTITION BY c) AS mixed, row_number() OVER (PARTITION BY c ORDER BY is_synthetic, doc) AS copy FROM k)"""
+
+
+@query(f"WITH {_CLUSTERS} SELECT doc AS pos, c AS cluster, size AS cluster_size, mixed AS mixed_labels, copy AS copy_no FROM z")
+def q_near_duplicate_clusters(spark, d):
+    c = _c(spark, d)
+    pairs = materialize(similarity.similar_pairs(c, "pos", "text", 0.9), "pairs")
+    return similarity.near_duplicate_clusters(c, pairs).select("pos", "cluster", "cluster_size", "mixed_labels", F.col("copy_no").cast("long").alias("copy_no"))
+
+
+@query(f"""WITH {_CLUSTERS} SELECT count(*) AS rows, count(*) FILTER (size > 1 AND copy = 1) AS clusters, max(size) AS largest, count(*) FILTER (mixed) AS mixed_label_rows, count(*) FILTER (NOT mixed AND copy > 1) AS removed FROM z""")
+def q_near_duplicate_report(spark, d):
+    c = _c(spark, d)
+    pairs = materialize(similarity.similar_pairs(c, "pos", "text", 0.9), "pairs")
+    return similarity.near_duplicate_report(similarity.near_duplicate_clusters(c, pairs))
+
+
+def _sensitivity_sql() -> str:
+    out = []
+    for t in (0.80, 0.90, 0.95):
+        out.append(f"""SELECT {t}::DOUBLE AS threshold, (SELECT count(*) FROM pairs WHERE sim >= {t} - 1e-12) AS pairs, (WITH RECURSIVE n AS (SELECT i AS a, j AS b FROM pairs WHERE sim >= {t} - 1e-12 UNION SELECT j, i FROM pairs WHERE sim >= {t} - 1e-12), r AS (SELECT a AS node, a AS root FROM n UNION SELECT n.b, r.root FROM r JOIN n ON r.node = n.a),
+          c AS (SELECT node, min(root) AS c FROM r GROUP BY node) SELECT count(*) - count(DISTINCT c) FROM c) AS removed""")
+    return f"WITH pairs AS MATERIALIZED ({catalog._SIMILAR_SQL}) " + " UNION ALL ".join(out)
+
+
+@query(_sensitivity_sql())
+def q_sensitivity(spark, d):
+    return similarity.sensitivity(materialize(similarity.similar_pairs(catalog._docs(spark, d), "doc_id", "text", 0.8), "pairs"))
+
+
+def _audit_sql() -> str:
+    out = []
+    for held, ref in (("val", "train"), ("test", "train"), ("test", "val")):
+        out.append(f"""SELECT * FROM (WITH {_pairs_sql(f"SELECT doc FROM t WHERE split IN ('{held}', '{ref}')")}, b AS (SELECT doc, max(sim) AS m FROM (SELECT i AS doc, j AS o, sim FROM s UNION ALL SELECT j, i, sim FROM s) y JOIN t USING (doc) JOIN (SELECT doc AS o, split AS other FROM t) u USING (o) WHERE t.split = '{held}' AND other = '{ref}' GROUP BY doc),
+          k AS (SELECT DISTINCT {catalog.KEY} AS k FROM combined WHERE split = '{ref}'), h AS (SELECT c.pos, {catalog.KEY.replace("text", "c.text")} IN (SELECT k FROM k) AS exact, b.m FROM combined c LEFT JOIN b ON b.doc = c.pos WHERE c.split = '{held}')
+          SELECT '{held}' AS held, '{ref}' AS reference, count(*) AS rows, count(*) FILTER (exact OR m IS NOT NULL) AS near_duplicates, round(max(m), 4) AS max_similarity FROM h)""")
+    return f"WITH {_VEC} " + " UNION ALL ".join(out)
+
+
+@query(_audit_sql())
+def q_leakage_audit(spark, d):
+    return similarity.leakage_audit(_c(spark, d).where("split is not null"))
+
+
 assert FLAGSHIP in QUERIES

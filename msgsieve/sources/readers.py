@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.text import repair_latin1
 from ..functions.urls import normalized
+from ..session import path_exists
 
 BATCH_SCHEMA = "key string, label string, topic string, scam_type string, language string, batch_no long, provider string, model string, created_at string, messages array<string>"
 KB_ENTRY = "id string, name string, category string, how_it_works string, typical_phrases array<string>, red_flags array<string>, what_to_do string, languages array<string>, source_notes string"
@@ -67,18 +68,12 @@ def read_review_csv(spark: SparkSession, path: str) -> DataFrame:
 
 def read_blocklist_csv(spark: SparkSession, path: str) -> DataFrame:
     """(url, normalized) of a CSV with a column ``url``; a missing file is an empty list."""
-    try:
-        raw = spark.read.csv(path, header=True, inferSchema=False).select("url")
-    except Exception:
-        raw = spark.createDataFrame([], "url string")
+    raw = spark.read.csv(path, header=True, inferSchema=False).select("url") if path_exists(spark, path) else spark.createDataFrame([], "url string")
     return raw.where("url is not null").select("url", normalized(F.col("url")).alias("normalized"))
 
 
 def read_blocklist_text(spark: SparkSession, path: str) -> DataFrame:
-    try:
-        raw = spark.read.text(path)
-    except Exception:
-        raw = spark.createDataFrame([], "value string")
+    raw = spark.read.text(path) if path_exists(spark, path) else spark.createDataFrame([], "value string")
     return raw.select(F.trim("value").alias("url")).where("url <> ''").select("url", normalized(F.col("url")).alias("normalized"))
 
 
@@ -108,3 +103,8 @@ def verify_artifacts(spark: SparkSession, folder: str, locks: DataFrame) -> Data
     files = spark.read.format("binaryFile").load(folder).select(F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), F.sha2("content", 256).alias("found"))
     j = locks.join(files, "name", "left")
     return j.select("name", F.col("sha256").alias("expected"), "found", F.coalesce(F.col("found") == F.lower("sha256"), F.lit(False)).alias("ok"))
+
+
+def read_synthetic(spark: SparkSession, path: str) -> DataFrame:
+    """Generated messages by what the path names: an audited Parquet table as it is, else a log of batches."""
+    return spark.read.parquet(path) if path.rstrip("/").endswith(".parquet") else read_batches(spark, path)

@@ -7,6 +7,8 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from ..session import list_names, path_exists, remove_path
+
 
 def decide(times: list[float], now: float, limit: int, window: float) -> tuple[bool, float, list[float]]:
     """One request against the accepted times of its key: (accepted, retry after, times kept).
@@ -95,17 +97,59 @@ def sessions(events: DataFrame, gap: str = "30 minutes", late: str | None = None
     return g.select("user_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
-def upsert_stream(stream: DataFrame, path: str, key: str, order: str, checkpoint: str, once: bool = False):
-    """Latest-wins table of a stream: every micro-batch is merged and written as a new version; ``once`` ends it with what is there."""
+def _latest(spark, path: str, before: int) -> tuple[int, dict[int, int]]:
+    """(epoch, bucket -> epoch that wrote it) of the last finished version before an epoch; (-1, {}) if there is none."""
+    done = [int(n[1:]) for n in list_names(spark, f"{path}/manifest") if n.startswith("e") and path_exists(spark, f"{path}/manifest/{n}/_SUCCESS")]
+    last = max((e for e in done if e < before), default=-1)
+    return last, {r["bucket"]: r["epoch"] for r in spark.read.parquet(f"{path}/manifest/e{last}").collect()} if last >= 0 else {}
+
+
+def upsert_stream(stream: DataFrame, path: str, key: str, order: str, checkpoint: str, once: bool = False, buckets: int = 64, keep: int = 2):
+    """Latest-wins table of a stream; ``once`` ends it with what is there. ``read_upserted`` reads it.
+
+    The table lies in ``buckets`` by the hash of its key. A micro-batch merges and writes only the buckets it
+    touches, under its epoch; a small manifest then names the epoch of every bucket and makes the version
+    valid. A repeated epoch starts from the version before it, so nothing is lost or doubled. Epochs that none of the
+    last ``keep`` manifests name are removed. Errors are raised; only a table without any version starts empty.
+    """
     from ..sources.sinks import upsert
 
     def merge(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        try:
-            current = spark.read.parquet(f"{path}/v{epoch - 1}")
-        except Exception:
-            current = batch.limit(0)
-        upsert(current, batch, key, order).write.mode("overwrite").parquet(f"{path}/v{epoch}")
+        own = batch.withColumn("__bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")).persist()
+        touched = sorted(r[0] for r in own.select("__bucket").distinct().collect())
+        _, at = _latest(spark, path, epoch)
+        current = None
+        for b in touched:
+            if b in at:
+                part = spark.read.schema(batch.schema).parquet(f"{path}/data/e{at[b]}/__bucket={b}").withColumn("__bucket", F.lit(b))
+                current = part if current is None else current.unionByName(part)
+        merged = upsert(current if current is not None else own.limit(0), own, key, order)
+        merged.write.mode("overwrite").partitionBy("__bucket").parquet(f"{path}/data/e{epoch}")
+        now = at | {b: epoch for b in touched}
+        spark.createDataFrame(sorted(now.items()), "bucket int, epoch long").coalesce(1).write.mode("overwrite").parquet(f"{path}/manifest/e{epoch}")
+        own.unpersist()
+        manifests = sorted((int(n[1:]) for n in list_names(spark, f"{path}/manifest") if n.startswith("e")), reverse=True)
+        named = {e for m in manifests[:keep] for e in _latest(spark, path, m + 1)[1].values()}
+        for n in list_names(spark, f"{path}/data"):
+            if n.startswith("e") and int(n[1:]) not in named and int(n[1:]) != epoch:
+                remove_path(spark, f"{path}/data/{n}")
+        for m in manifests[keep:]:
+            remove_path(spark, f"{path}/manifest/e{m}")
 
     w = stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
     return (w.trigger(availableNow=True) if once else w).start()
+
+
+def read_upserted(spark, path: str, schema) -> DataFrame:
+    """The newest finished version of the table of ``upsert_stream``; empty if there is none."""
+    _, at = _latest(spark, path, 1 << 62)
+    paths = [f"{path}/data/e{e}/__bucket={b}" for b, e in sorted(at.items())]
+    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
+
+
+def analyze_stream(messages: DataFrame, score) -> DataFrame:
+    """Scores each message of a stream: ``score`` is any map from messages to rows without state, as on a table."""
+    if not messages.isStreaming:
+        raise ValueError("a stream is expected")
+    return score(messages)
