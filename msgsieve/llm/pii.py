@@ -357,7 +357,7 @@ def _is_word(c: str) -> bool:
 
 
 _FULL = re.compile(r"\.?[ \t]+((?:[A-Z]\.?[ \t]+)?[A-Z][a-z’'-]{1,}(?:[ \t]+[A-Z]\.)?[ \t]+[A-Z][a-z’'-]{2,})(?![\w@])")
-_HEAD_END = re.compile(r"\s*(?:<|&lt;|\n|$)")
+_HEAD_END = re.compile(r"\s*(?:<|&lt;)|\s*\n\s*[^\W\d_]+\s*:")
 
 
 def _presented(text: str, found: Anchors) -> list[tuple[int, int, str]]:
