@@ -91,7 +91,27 @@ def batch_progress(batches: DataFrame) -> DataFrame:
     return g.withColumn("share", F.col("messages") / F.sum("messages").over(Window.partitionBy(F.lit(1))))
 
 
-def feature_categories(weights: DataFrame) -> DataFrame:
-    """(side, format, other): how many of the top features of each side are format marks rather than words."""
-    kind = F.when(F.col("word").rlike(r"url|otp|phone|http|www|\d"), "format").otherwise("other")
-    return weights.groupBy("side").pivot("kind", ["format", "other"]).count() if "kind" in weights.columns else weights.withColumn("kind", kind).groupBy("side").pivot("kind", ["format", "other"]).count().na.fill(0)
+# Words that tell of a scam, and words that tell of a corpus instead.
+SIGNALS = "account alert arrest bank blocked bonus call card cash claim click congratulations customs draw fee free gift immediately kyc loan lottery offer otp password pay payment prize refund reward share suspended update urgent verify win winner won".split()
+FINGERPRINTS = "ect enron forwarded hou hpl http kaminski original sender subject url vince wrote".split()
+
+
+def feature_categories(top: DataFrame, signals: list[str] = SIGNALS, fingerprints: list[str] = FINGERPRINTS, word: str = "word") -> DataFrame:
+    """(side, n, signal, fingerprint, format, other, signal_share): what the top features of each side are.
+
+    A feature of several words takes its worst kind: a fingerprint before a format mark before a signal. Sides without features have no row.
+    """
+    words = F.split(F.lower(word), " ")
+
+    def any_of(values):
+        return F.arrays_overlap(words, F.array(*map(F.lit, values)))
+
+    kind = F.when(any_of(fingerprints), "fingerprint").when(F.col(word).rlike(r"\d|^(?:url|otp|phone|cur|year)$"), "format").when(any_of(signals), "signal").otherwise("other")
+    g = top.withColumn("__k", kind).groupBy("side").agg(F.count("*").alias("n"), *(F.count_if(F.col("__k") == k).alias(k) for k in ("signal", "fingerprint", "format", "other")))
+    return g.withColumn("signal_share", F.col("signal") / F.col("n"))
+
+
+def passes_audit(categories: DataFrame, least_share: float = 0.5) -> DataFrame:
+    """(passed): no fingerprint on either side, and enough signals on the scam side; no rows do not pass."""
+    share = F.max(F.when(F.col("side") == "scam", F.col("signal_share")))
+    return categories.agg(F.coalesce((F.sum("fingerprint") == 0) & (share >= least_share), F.lit(False)).alias("passed"))

@@ -82,7 +82,7 @@ def predict(rows: DataFrame, model: DataFrame, threshold: float | Column, text:
 
     The flag compares the margin with the threshold; the probability is a sigmoid of their difference.
     """
-    ready = rows.select(key, prepared(F.col(text)).alias("__t"))
+    ready = spread(rows.select(key, text)).select(key, prepared(F.col(text)).alias("__t"))
     threshold = threshold if isinstance(threshold, Column) else F.lit(float(threshold))
     m = score_linear(ready.where("__t is not null"), model, F.col("__t"), key)
     return rows.select(key).join(m, key, "left").select(key, "margin", sigmoid(F.col("margin") - threshold).alias("scam_probability"), (F.col("margin") >= threshold).alias("is_scam"))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions import text as tx, urls as ur
 from ..operators import audit, dedup, eda, features, metrics, retrieval, similarity, splits
 from ..operators.graph import connected_components
-from ..session import materialize, table
+from ..session import materialize, spread, table
 from ..sources import sinks
 from ..streaming import stateful
 
@@ -99,13 +99,13 @@ def q_error_groups(spark, d):
 # ---------------------------------------------------------------- text functions
 @query()
 def q_clean_and_mask(spark, d):
-    c = _c(spark, d)
+    c = spread(_c(spark, d).select("pos", "text_raw"))
     return c.select("pos", tx.preprocess_text(F.col("text_raw")).alias("masked"), tx.extract_urls(tx.clean_text(F.col("text_raw"))).alias("links"))
 
 
 @query()
 def q_normalize_text(spark, d):
-    return _c(spark, d).select("pos", tx.normalize_text(F.col("text_raw")).alias("normalized"), (tx.normalize_text(F.col("text_raw")) != F.col("text_raw")).alias("changed"))
+    return spread(_c(spark, d).select("pos", "text_raw")).select("pos", tx.normalize_text(F.col("text_raw")).alias("normalized"), (tx.normalize_text(F.col("text_raw")) != F.col("text_raw")).alias("changed"))
 
 
 @query("""SELECT coalesce(CASE WHEN regexp_matches(text, '^\\s*URL:\\s*https?://') AND contains(text, 'Date:') THEN 'web_crawl' END, CASE WHEN regexp_matches(text, '(?i)hourahead|schedule crawler') THEN 'pipeline_notice' END,
@@ -149,7 +149,7 @@ def q_client_key(spark, d):
 
 # ---------------------------------------------------------------- links
 def _links(spark, d):
-    return _c(spark, d).select("pos", F.posexplode("urls").alias("n", "url"))
+    return spread(_c(spark, d).select("pos", "urls")).select("pos", F.posexplode("urls").alias("n", "url"))
 
 
 @query("""WITH l AS (SELECT pos, unnest(urls) AS url FROM combined) SELECT lower(regexp_replace(regexp_replace(regexp_extract(regexp_replace(trim(url), '^[A-Za-z][A-Za-z0-9+.-]*://', ''), '^[^/?#]*', 0), '^.*@', ''), ':\\d*$', '')) AS host, count(*) AS rows FROM l GROUP BY 1""")
@@ -320,11 +320,6 @@ def q_batch_progress(spark, d):
     return eda.batch_progress(table(spark, d, "synthetic_batches")).withColumn("share", F.round("share", 9))
 
 
-@query()
-def q_feature_categories(spark, d):
-    return eda.feature_categories(eda.top_words(_c(spark, d), 30))
-
-
 # ---------------------------------------------------------------- metrics
 _CONF = """count(*) AS n, count(*) FILTER (y = 1) AS n_scam, count(*) FILTER (y = 1 AND score >= 0.6) AS tp, count(*) FILTER (y = 0 AND score >= 0.6) AS fp, count(*) FILTER (y = 1 AND score < 0.6) AS fn, count(*) FILTER (y = 0 AND score < 0.6) AS tn"""
 _PRF = """round(tp::DOUBLE / (tp + fp), 9) AS precision, round(tp::DOUBLE / n_scam, 9) AS recall, round(2.0::DOUBLE * tp / (2 * tp + fp + fn), 9) AS f1"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import styles, text as tx, urls as ur
-from ..operators import audit, features, levels, metrics, protocol, retrieval, similarity, triage, verdict
+from ..operators import audit, eda, features, levels, metrics, protocol, retrieval, similarity, triage, verdict
 from ..operators import splits as sp
 from ..session import materialize, table
 from ..sources import sinks
@@ -535,4 +535,22 @@ def q_leakage_audit(spark, d):
     return similarity.leakage_audit(_c(spark, d).where("split is not null"))
 
 
+def _in(words: list[str]) -> str:
+    return ", ".join(f"'{w}'" for w in words)
+
+
+_CATEGORIES = f"""t AS ({catalog.ORACLES["top_words"]}), k AS (SELECT side, CASE WHEN word IN ({_in(eda.FINGERPRINTS)}) THEN 'fingerprint' WHEN regexp_matches(word, '\\d|^(?:url|otp|phone|cur|year)$') THEN 'format' WHEN word IN ({_in(eda.SIGNALS)}) THEN 'signal' ELSE 'other' END AS kind FROM t),
+  c AS (SELECT side, count(*) AS n, count(*) FILTER (kind = 'signal') AS signal, count(*) FILTER (kind = 'fingerprint') AS fingerprint, count(*) FILTER (kind = 'format') AS format, count(*) FILTER (kind = 'other') AS other FROM k GROUP BY side)"""
+
+
+@query(f"WITH {_CATEGORIES} SELECT *, round(signal::DOUBLE / n, 9) AS signal_share FROM c")
+def q_feature_categories(spark, d):
+    return _rounded(eda.feature_categories(eda.top_words(_c(spark, d))), "signal_share")
+
+
+@query(f"WITH {_CATEGORIES} SELECT sum(fingerprint) = 0 AND max(CASE WHEN side = 'scam' THEN signal::DOUBLE / n END) >= 0.1 AS passed FROM c")
+def q_feature_audit(spark, d):
+    return eda.passes_audit(eda.feature_categories(eda.top_words(_c(spark, d))), 0.1)
+
+
 assert FLAGSHIP in QUERIES

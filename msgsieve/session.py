@@ -24,8 +24,11 @@ def get_session(app: str = "msgsieve", master: str | None = None, **conf) -> Spa
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.ui.enabled": "false",
-        "spark.sql.shuffle.partitions": "8",
-    } | conf
+    }
+    if (master or "").startswith("local"):
+        # On a single machine; a cluster keeps its own number, and large steps state theirs by the rows.
+        settings["spark.sql.shuffle.partitions"] = "8"
+    settings |= conf
     for k, v in settings.items():
         b = b.config(k, v)
     return b.getOrCreate()
