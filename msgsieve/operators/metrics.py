@@ -30,10 +30,17 @@ def confusion(df: DataFrame, threshold: float = 0.5, y: str = "y", score: str =
     return g.withColumn("precision", p).withColumn("recall", r).withColumn("f1", f)
 
 
-def roc_auc(df: DataFrame, y: str = "y", score: str = "score", by: list[str] | None = None) -> DataFrame:
+def _counts(df: DataFrame, by: list[str], y: str, score: str, weight: str | None) -> DataFrame:
+    """(by, score, p, c): positives and rows of every distinct score, weighted if a weight is named."""
+    if weight is None:
+        return df.groupBy(*by, score).agg(F.sum(y).alias("p"), F.count("*").alias("c"))
+    return df.where(F.col(weight) > 0).groupBy(*by, score).agg(F.sum(F.col(y) * F.col(weight)).alias("p"), F.sum(weight).alias("c"))
+
+
+def roc_auc(df: DataFrame, y: str = "y", score: str = "score", by: list[str] | None = None, weight: str | None = None) -> DataFrame:
     """Mann-Whitney with ties counted half, from one aggregate per distinct score."""
     by = by or []
-    s = df.groupBy(*by, score).agg(F.sum(y).alias("p"), F.count("*").alias("c"))
+    s = _counts(df, by, y, score, weight)
     s, small = _buckets(s, by, score)
     low = F.sum(F.col("__c") - F.col("__p")).over(_one(by).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1))
     small = small.select(*by, "__b", F.coalesce(low, F.lit(0)).alias("__base"))
@@ -45,10 +52,10 @@ def roc_auc(df: DataFrame, y: str = "y", score: str = "score", by: list[str] | N
     return g.select(*by, F.when((F.col("n1") > 0) & (F.col("n0") > 0), F.col("u") / (F.col("n1") * F.col("n0"))).alias("roc_auc"))
 
 
-def curve(df: DataFrame, y: str = "y", score: str = "score", by: list[str] | None = None) -> DataFrame:
+def curve(df: DataFrame, y: str = "y", score: str = "score", by: list[str] | None = None, weight: str | None = None) -> DataFrame:
     """(score, tp, flagged, positives, precision, recall, f1, next_lower) at every distinct score."""
     by = by or []
-    s = df.groupBy(*by, score).agg(F.sum(y).alias("p"), F.count("*").alias("c"))
+    s = _counts(df, by, y, score, weight)
     s, small = _buckets(s, by, score)
     down = _one(by).orderBy(F.desc("__b"))
     base = down.rowsBetween(Window.unboundedPreceding, -1)
@@ -63,10 +70,10 @@ def curve(df: DataFrame, y: str = "y", score: str = "score", by: list[str] | Non
     return s.withColumn("f1", F.when(F.col("positives") > 0, 2 * F.col("tp") / (F.col("flagged") + F.col("positives"))))
 
 
-def average_precision(df: DataFrame, y: str = "y", score: str = "score", by: list[str] | None = None) -> DataFrame:
+def average_precision(df: DataFrame, y: str = "y", score: str = "score", by: list[str] | None = None, weight: str | None = None) -> DataFrame:
     """Step sum of precision over recall."""
     by = by or []
-    c = curve(df, y, score, by)
+    c = curve(df, y, score, by, weight)
     return c.groupBy(*by).agg(F.when(F.max("positives") > 0, F.sum(F.col("p") * F.col("precision")) / F.max("positives")).alias("average_precision"))
 
 
@@ -118,40 +125,45 @@ def cell_weights(df: DataFrame) -> DataFrame:
     return df.crossJoin(F.broadcast(cells.crossJoin(n))).withColumn("weight", F.col("__n") / (F.col("__k") * cell)).drop("__k", "__n")
 
 
-def bootstrap(df: DataFrame, threshold: float, replicas: int = 200, seed: str = "boot", key: str = "pos", y: str = "y", score: str = "score") -> DataFrame:
-    """(metric, low, high): percentile intervals by the Poisson bootstrap.
-
-    Every row draws its number of copies per replica from a hash, so replicas
-    need no shuffle of rows: one pre-aggregated sum per replica.
-    """
-    u = (F.pmod(F.xxhash64(F.lit(seed), F.col("__b"), F.col(key)), F.lit(1 << 30)) + 0.5) / float(1 << 30)
+def _resampled(df: DataFrame, cols: list[str], replicas: int, seed: str, key: str) -> DataFrame:
+    """Every row with its number of copies (__w) in every replica (__rep), a Poisson draw from a hash of both."""
+    u = (F.pmod(F.xxhash64(F.lit(seed), F.col("__rep"), F.col(key)), F.lit(1 << 30)) + 0.5) / float(1 << 30)
     p, acc, cases = 0.36787944117144233, 0.0, None
     for k in range(0, 7):
         acc += p
         p /= k + 1
         cases = F.when(u < acc, k) if cases is None else cases.when(u < acc, k)
-    each = df.select(y, score, key, F.explode(F.sequence(F.lit(1), F.lit(replicas))).alias("__b")).withColumn("__w", cases.otherwise(7))
-    flag, pos = F.col(score) >= threshold, F.col(y) == 1
-    s = each.groupBy("__b").agg(F.sum(F.when(pos & flag, F.col("__w")).otherwise(0)).alias("tp"), F.sum(F.when(~pos & flag, F.col("__w")).otherwise(0)).alias("fp"), F.sum(F.when(pos & ~flag, F.col("__w")).otherwise(0)).alias("fn"))
-    m = s.select(F.expr("stack(3, 'precision', try_divide(tp, tp + fp), 'recall', try_divide(tp, tp + fn), 'f1', try_divide(2 * tp, 2 * tp + fp + fn)) as (metric, v)"))
-    return m.groupBy("metric").agg(F.percentile("v", 0.025).alias("low"), F.percentile("v", 0.975).alias("high"))
+    return df.select(*cols, key, F.explode(F.sequence(F.lit(1), F.lit(replicas))).alias("__rep")).withColumn("__w", cases.otherwise(7))
+
+
+def bootstrap(df: DataFrame, threshold: float, replicas: int = 200, seed: str = "boot", key: str = "pos", y: str = "y", score: str = "score") -> DataFrame:
+    """(metric, low, high): percentile intervals of precision, recall, F1, ROC AUC and average precision by the Poisson bootstrap.
+
+    Every row draws its number of copies per replica from a hash, so replicas
+    need no shuffle of rows: they are summed per replica and score before they move.
+    """
+    each = _resampled(df, [y, score], replicas, seed, key)
+    s = _counts(each, ["__rep"], y, score, "__w")
+    flag = F.col(score) >= threshold
+    tp, fp, fn = (F.sum(F.when(c, v).otherwise(0)) for c, v in ((flag, F.col("p")), (flag, F.col("c") - F.col("p")), (~flag, F.col("p"))))
+    m = s.groupBy("__rep").agg(tp.alias("tp"), fp.alias("fp"), fn.alias("fn"))
+    m = m.select(F.expr("stack(3, 'precision', try_divide(tp, tp + fp), 'recall', try_divide(tp, tp + fn), 'f1', try_divide(2 * tp, 2 * tp + fp + fn)) as (metric, v)"))
+    auc = roc_auc(each, y, score, ["__rep"], "__w").select(F.lit("roc_auc").alias("metric"), F.col("roc_auc").alias("v"))
+    ap = average_precision(each, y, score, ["__rep"], "__w").select(F.lit("average_precision").alias("metric"), F.col("average_precision").alias("v"))
+    return m.unionByName(auc).unionByName(ap).groupBy("metric").agg(F.percentile("v", 0.025).alias("low"), F.percentile("v", 0.975).alias("high"))
 
 
 def paired_bootstrap(df: DataFrame, score_a: str, score_b: str, threshold_a: float, threshold_b: float, replicas: int = 200, seed: str = "pair", key: str = "pos", y: str = "y") -> DataFrame:
-    """(diff_low, diff_high, share_a_better) of F1 on the same resampled rows."""
-    u = (F.pmod(F.xxhash64(F.lit(seed), F.col("__b"), F.col(key)), F.lit(1 << 30)) + 0.5) / float(1 << 30)
-    p, acc, cases = 0.36787944117144233, 0.0, None
-    for k in range(0, 7):
-        acc += p
-        p /= k + 1
-        cases = F.when(u < acc, k) if cases is None else cases.when(u < acc, k)
-    each = df.select(y, score_a, score_b, key, F.explode(F.sequence(F.lit(1), F.lit(replicas))).alias("__b")).withColumn("__w", cases.otherwise(7))
-    pos = F.col(y) == 1
+    """(metric, diff_low, diff_high, share_a_better) of precision, recall and F1 on the same resampled rows."""
+    each = _resampled(df, [y, score_a, score_b], replicas, seed, key)
+    pos, w = F.col(y) == 1, F.col("__w")
 
-    def f1(score, t):
+    def sums(score, t, tag):
         flag = F.col(score) >= t
-        tp, fp, fn = (F.sum(F.when(c, F.col("__w")).otherwise(0)) for c in (pos & flag, ~pos & flag, pos & ~flag))
-        return F.try_divide(2 * tp, 2 * tp + fp + fn)
+        return [F.sum(F.when(c, w).otherwise(0)).alias(f"{n}_{tag}") for n, c in (("tp", pos & flag), ("fp", ~pos & flag), ("fn", pos & ~flag))]
 
-    s = each.groupBy("__b").agg((f1(score_a, threshold_a) - f1(score_b, threshold_b)).alias("d"))
-    return s.agg(F.percentile("d", 0.025).alias("diff_low"), F.percentile("d", 0.975).alias("diff_high"), F.avg((F.col("d") > 0).cast("double")).alias("share_a_better"))
+    s = each.groupBy("__rep").agg(*sums(score_a, threshold_a, "a"), *sums(score_b, threshold_b, "b"))
+    rate = {"precision": "try_divide(tp_{0}, tp_{0} + fp_{0})", "recall": "try_divide(tp_{0}, tp_{0} + fn_{0})", "f1": "try_divide(2 * tp_{0}, 2 * tp_{0} + fp_{0} + fn_{0})"}
+    parts = ", ".join(f"'{m}', {e.format('a')} - {e.format('b')}" for m, e in rate.items())
+    d = s.select(F.expr(f"stack(3, {parts}) as (metric, d)"))
+    return d.groupBy("metric").agg(F.percentile("d", 0.025).alias("diff_low"), F.percentile("d", 0.975).alias("diff_high"), F.avg((F.col("d") > 0).cast("double")).alias("share_a_better"))

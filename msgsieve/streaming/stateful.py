@@ -122,18 +122,18 @@ def upsert_stream(stream: DataFrame, path: str, key: str, order: str, checkpoint
         current = None
         for b in touched:
             if b in at:
-                part = spark.read.schema(batch.schema).parquet(f"{path}/data/e{at[b]}/__bucket={b}").withColumn("__bucket", F.lit(b))
+                part = spark.read.schema(batch.schema).parquet(f"{path}/v{at[b]}/__bucket={b}").withColumn("__bucket", F.lit(b))
                 current = part if current is None else current.unionByName(part)
         merged = upsert(current if current is not None else own.limit(0), own, key, order)
-        merged.write.mode("overwrite").partitionBy("__bucket").parquet(f"{path}/data/e{epoch}")
+        merged.write.mode("overwrite").partitionBy("__bucket").parquet(f"{path}/v{epoch}")
         now = at | {b: epoch for b in touched}
         spark.createDataFrame(sorted(now.items()), "bucket int, epoch long").coalesce(1).write.mode("overwrite").parquet(f"{path}/manifest/e{epoch}")
         own.unpersist()
         manifests = sorted((int(n[1:]) for n in list_names(spark, f"{path}/manifest") if n.startswith("e")), reverse=True)
         named = {e for m in manifests[:keep] for e in _latest(spark, path, m + 1)[1].values()}
-        for n in list_names(spark, f"{path}/data"):
-            if n.startswith("e") and int(n[1:]) not in named and int(n[1:]) != epoch:
-                remove_path(spark, f"{path}/data/{n}")
+        for n in list_names(spark, path):
+            if n[0] == "v" and n[1:].isdigit() and int(n[1:]) not in named and int(n[1:]) != epoch:
+                remove_path(spark, f"{path}/{n}")
         for m in manifests[keep:]:
             remove_path(spark, f"{path}/manifest/e{m}")
 
@@ -144,7 +144,7 @@ def upsert_stream(stream: DataFrame, path: str, key: str, order: str, checkpoint
 def read_upserted(spark, path: str, schema) -> DataFrame:
     """The newest finished version of the table of ``upsert_stream``; empty if there is none."""
     _, at = _latest(spark, path, 1 << 62)
-    paths = [f"{path}/data/e{e}/__bucket={b}" for b, e in sorted(at.items())]
+    paths = [f"{path}/v{e}/__bucket={b}" for b, e in sorted(at.items())]
     return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
 
 
