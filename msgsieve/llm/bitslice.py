@@ -182,29 +182,28 @@ def sliced_pairs(key: np.ndarray, ident: np.ndarray, sketch: np.ndarray, size: n
     return np.concatenate(left), np.concatenate(right)
 
 
-_BAND = "key long, h long, s0 long, s1 long, n int, side byte"
+_BAND = "key long, h long, s0 long, s1 long, n int"
 
 
 def _band_rows(common_b, bands: int, rows: int, hot_b, sample: int = 1):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         common, hot = common_b.value, hot_b.value if hot_b is not None else None
-        seen: set[tuple[int, int]] = set()
+        seen: set[int] = set()
         for pdf in batches:
-            pdf = pdf[pdf["n"] > 0].drop_duplicates(["h", "side"])
-            fresh = [v not in seen for v in zip(pdf["h"], pdf["side"])]
-            pdf = pdf[np.array(fresh, dtype=bool)]
+            pdf = pdf[pdf["n"] > 0].drop_duplicates("h")
+            pdf = pdf[~pdf["h"].isin(seen)]
             if sample > 1:
                 pdf = pdf[pdf["h"] % sample == 0]
-            seen.update(zip(pdf["h"], pdf["side"]))
+            seen.update(pdf["h"])
             if not len(pdf):
                 continue
             flat, offsets, lens = flatten(pdf["words"])
             idx, k = band_keys(flat, offsets, common, bands, rows)
             sk = odd_sketch(flat, offsets).view(np.int64)
-            h, side = pdf["h"].to_numpy(), pdf["side"].to_numpy().astype(np.int8)
+            h = pdf["h"].to_numpy()
             if hot is not None and len(hot[0]):
                 k, idx = _spread(k, h[idx], idx, hot)
-            yield pd.DataFrame({"key": k, "h": h[idx], "s0": sk[idx, 0], "s1": sk[idx, 1], "n": lens[idx].astype(np.int32), "side": side[idx]})
+            yield pd.DataFrame({"key": k, "h": h[idx], "s0": sk[idx, 0], "s1": sk[idx, 1], "n": lens[idx].astype(np.int32)})
 
     return run
 
@@ -225,14 +224,14 @@ def _spread(k: np.ndarray, h: np.ndarray, idx: np.ndarray, hot) -> tuple[np.ndar
     return np.concatenate(out_k), np.concatenate(out_i)
 
 
-def _meet(threshold: float, cross: bool, chunk: int = 1 << 16):
-    """Pairs of the records of a key; with ``cross`` only of one of side 1 (ha) and one of another side (hb)."""
+def _meet(threshold: float, chunk: int = 1 << 16):
+    """Pairs of the records of a key."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         parts = [p for p in batches if len(p)]
         if not parts:
             return
-        cols = {c: np.concatenate([p[c].to_numpy() for p in parts]) for c in ("key", "h", "s0", "s1", "n", "side")}
+        cols = {c: np.concatenate([p[c].to_numpy() for p in parts]) for c in ("key", "h", "s0", "s1", "n")}
         del parts
         # Most keys are one row's alone: they go before the full sort.
         order = np.argsort(cols["key"])
@@ -242,16 +241,12 @@ def _meet(threshold: float, cross: bool, chunk: int = 1 << 16):
         cols = {c: v[order] for c, v in cols.items()}
         if not len(order):
             return
-        order = np.lexsort((cols["side"], cols["h"], cols["key"]))
+        order = np.lexsort((cols["h"], cols["key"]))
         cols = {c: v[order] for c, v in cols.items()}
-        key, h, side = cols["key"], cols["h"], cols["side"]
-        first = np.concatenate(([True], (key[1:] != key[:-1]) | (h[1:] != h[:-1]) | (side[1:] != side[:-1])))
+        key, h = cols["key"], cols["h"]
+        first = np.concatenate(([True], (key[1:] != key[:-1]) | (h[1:] != h[:-1])))
         same = np.concatenate(([False], key[1:] == key[:-1]))
         lonely = ~(same | np.concatenate((same[1:], [False])))
-        if cross:
-            new = np.flatnonzero(~same)
-            size, ones = np.diff(np.append(new, len(key))), np.add.reduceat((side == 1).astype(np.int64), new)
-            lonely |= np.repeat((ones == 0) | (ones == size), size)
         keep = np.flatnonzero(first & ~lonely)
         cols = {c: v[keep] for c, v in cols.items()}
         key = cols["key"]
@@ -268,17 +263,12 @@ def _meet(threshold: float, cross: bool, chunk: int = 1 << 16):
             sl = slice(at, end)
             sk = np.stack([cols["s0"][sl], cols["s1"][sl]], axis=1)
             i, j = sliced_pairs(key[sl], cols["h"][sl], sk, cols["n"][sl], threshold)
-            if cross:
-                side, h = cols["side"][sl], cols["h"][sl]
-                apart = ((side[i] == 1) != (side[j] == 1)) & (h[i] != h[j])
-                i, j = i[apart], j[apart]
-                i, j = np.where(side[i] == 1, i, j), np.where(side[i] == 1, j, i)
             found_a.append(cols["h"][sl][i])
             found_b.append(cols["h"][sl][j])
             at = end
         a, b = np.concatenate(found_a), np.concatenate(found_b)
         if len(a):
-            # The records are sorted by h inside a key, so a < b unless they are ordered by side.
+            # The records are sorted by h inside a key, so a < b.
             yield pd.DataFrame({"ha": a, "hb": b}).drop_duplicates()
 
     return run
@@ -291,7 +281,7 @@ def word_sets(df: DataFrame, ident: str, text: str) -> DataFrame:
 
 
 def similar_sets(
-    sets: DataFrame, threshold: float = 0.7, bands: int = 32, rows: int = 3, common_share: float = 0.002, hot_rows: int = 4096, cross: bool = False
+    sets: DataFrame, threshold: float = 0.7, bands: int = 32, rows: int = 3, common_share: float = 0.002, hot_rows: int = 4096
 ) -> DataFrame:
     """(ha, hb, similarity): pairs of different word sets, ha < hb, verified on the sets.
 
@@ -301,13 +291,12 @@ def similar_sets(
     with (1 - j**(rows + 2))**bands. Keys that a sample of the sets
     shows to hold more than ``hot_rows`` sets are spread over a grid of cells,
     so that no task gets a whole hot key; the sample steers the layout only.
-    With ``cross``, ``sets`` has a column side, and the result is (ha, hb) of a set ha of
-    side 1 and a set hb of another side, not verified yet. Sets without words form no pair.
+    Sets without words form no pair.
     """
     spark = sets.sparkSession
     total = sets.count()
     common = spark.sparkContext.broadcast(common_words(sets, "words", common_share, total))
-    source = sets.select("h", "words", "n", F.col("side") if cross else F.lit(0).cast("byte").alias("side"))
+    source = sets.select("h", "words", "n")
     sample = max(1, total // 20_000)
     least = max(hot_rows, total // 10_000) / sample
     hot = (
@@ -319,8 +308,8 @@ def similar_sets(
     cells = source.mapInPandas(_band_rows(common, bands, rows, hot_b), _BAND)
     # A task holds the keys of its partition at once, so their number follows the input.
     cells = cells.repartition(partitions_for(spark, total * 2 * bands, 4_000_000), "key")
-    pairs = materialize(cells.mapInPandas(_meet(threshold, cross), "ha long, hb long").distinct(), "pairs")
-    return pairs if cross else verify_sets(pairs, sets, threshold)
+    pairs = materialize(cells.mapInPandas(_meet(threshold), "ha long, hb long").distinct(), "pairs")
+    return verify_sets(pairs, sets, threshold)
 
 
 def near_duplicate_pairs(df: DataFrame, ident: str = "pos", text: str = "text", threshold: float = 0.7, **kw) -> DataFrame:
