@@ -4,9 +4,8 @@ Texts become sequences of word hashes; a rolling hash, the sum over every three
 over them, and of each window of such hashes the smallest is kept (winnowing). Texts of up to 32
 words keep every hash, those of up to 48 the smallest of every four, longer ones of every eight, so that
 any run of ten words two texts share leaves a common fingerprint. The fingerprints are
-joined across the splits. One that very many texts hold is a
-stock phrase: under it only texts meet that also agree in the smallest hashes
-of their words. One common fingerprint is enough for a pair to be followed up.
+joined across the splits, every text once. Under one that very many texts hold, a
+stock phrase, all are compared pair by pair (see ``crowds``). One common fingerprint is enough for a pair to be followed up.
 A sketch whose distance never exceeds the difference of two word sets keeps
 pairs apart that cannot be similar. The common fingerprints of the others are
 seeds: they are chained along a diagonal, the chains are extended by alignment,
@@ -23,13 +22,14 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..session import materialize, release
 from .bitslice import odd_sketch
-from .words import flatten, hot_keys, mix, split_hot, word_array
+from .crowds import hot_rows, meet, wide_sketches
+from .words import flatten, hot_keys, is_common, mix, word_array
 
 GRAM = 3
 #: (most words of a text, window): short texts have few fingerprints to lose.
 WINDOWS = ((32, 1), (48, 4), (1 << 62, 8))
 TRAIN, EVAL = 1, 2
-_FP = "key long, h long, pn long, s0 long, s1 long"
+_FP = "key long, h long, n int, s0 long, s1 long"
 _LAST = np.uint64(2**64 - 1)
 
 
@@ -73,25 +73,41 @@ def fingerprints(flat: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
 
 def _rows(hot_b):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: set[int] = set()
         for pdf in batches:
-            # A task gives copies of one text once; what other tasks repeat falls away with the sets of seeds.
-            pdf = pdf.drop_duplicates("h")
-            pdf = pdf[~pdf["h"].isin(seen)]
-            seen.update(pdf["h"])
             if not len(pdf):
                 continue
             flat, offsets, _ = flatten(pdf["words"])
             sets, bounds, _ = flatten([np.unique(w) for w in pdf["words"]])
             sk = odd_sketch(sets, bounds).view(np.int64)
-            r, p, k = fingerprints(flat, offsets)
-            at, key = (np.arange(len(r)), k) if hot_b is None else split_hot(r, k, flat, offsets, hot_b.value, bands=2, minima=3)
-            i = r[at]
-            yield pd.DataFrame({"key": key, "h": pdf["h"].to_numpy()[i], "pn": p[at].astype(np.int64) << 32 | pdf["n"].to_numpy(np.int64)[i], "s0": sk[i, 0], "s1": sk[i, 1]})
+            i, p, key = fingerprints(flat, offsets)
+            if hot_b is not None:
+                cold = ~is_common(key, hot_b.value[0])
+                i, p, key = i[cold], p[cold], key[cold]
+            yield pd.DataFrame({"key": key, "h": pdf["h"].to_numpy()[i], "n": pdf["n"].to_numpy(np.int32)[i], "s0": sk[i, 0], "s1": sk[i, 1]}).drop_duplicates(["key", "h"])
 
     return run
 
 
+def _crowded(hot_b):
+    """Rows of the texts' stock phrases for ``meet``."""
+
+    def rows(side: int):
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                if not len(pdf):
+                    continue
+                i, _, key = fingerprints(*flatten(pdf["words"])[:2])
+                on = is_common(key, hot_b.value[0])
+                i, key = i[on], key[on]
+                if len(i):
+                    sk = wide_sketches(*flatten([np.unique(w) for w in pdf["words"]])[:2])
+                    yield hot_rows(key, pdf["h"].to_numpy()[i], pdf["n"].to_numpy()[i], side, [sk[j] for j in i], hot_b.value)
+
+        return run
+
+    return rows
+
+
 def longest_chain(pa: np.ndarray, pb: np.ndarray) -> list[tuple[int, int]]:
     """The longest chain of seeds that rise in both records."""
     seeds = sorted(set(zip(pa.tolist(), pb.tolist())), key=lambda s: (s[0], -s[1]))
@@ -158,18 +174,34 @@ def extend(wa: np.ndarray, wb: np.ndarray, found: list[list[tuple[int, int]]]) -
     return float(ca.mean()) if len(ca) else 0.0, float(cb.mean()) if len(cb) else 0.0
 
 
+def common_seeds(fa: tuple[np.ndarray, np.ndarray], fb: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Word positions in both records of every pair of equal fingerprints, given as (positions, keys)."""
+    (pa, ka), (pb, kb) = fa, fb
+    order = np.argsort(kb, kind="stable")
+    lo, hi = np.searchsorted(kb[order], ka), np.searchsorted(kb[order], ka, "right")
+    n = hi - lo
+    at = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
+    return np.repeat(pa, n), pb[order][at]
+
+
 def _align(threshold: float):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = []
-            for ha, hb, wa, wb, seeds in zip(pdf["ha"], pdf["hb"], pdf["wa"], pdf["wb"], pdf["seeds"]):
+            kept = []
+            for ha, hb, wa, wb in zip(pdf["ha"], pdf["hb"], pdf["wa"], pdf["wb"]):
                 sa, sb = set(wa.tolist()), set(wb.tolist())
                 both = len(sa & sb)
                 sim = both / (len(sa) + len(sb) - both)
                 if sim >= threshold - 1e-12:
-                    at = np.array([(s["pa"], s["pb"]) for s in seeds], dtype=np.int64)
-                    c = chains(at[:, 0], at[:, 1])
-                    out.append((ha, hb, sim, *extend(wa, wb, c), sum(map(len, c))))
+                    kept.append((ha, hb, sim, wa, wb))
+            out, prints = [], []
+            if kept:
+                row, at, key = fingerprints(*flatten([w for k in kept for w in k[3:]])[:2])
+                cut = np.searchsorted(row, np.arange(2 * len(kept) + 1))
+                prints = [(at[s:e], key[s:e]) for s, e in zip(cut[:-1], cut[1:])]
+            for (ha, hb, sim, wa, wb), fa, fb in zip(kept, prints[::2], prints[1::2]):
+                c = chains(*common_seeds(fa, fb))
+                out.append((ha, hb, sim, *extend(wa, wb, c), sum(map(len, c))))
             yield pd.DataFrame(out, columns=["ha", "hb", "similarity", "cover_a", "cover_b", "seeds"]).astype(
                 {"ha": "int64", "hb": "int64", "similarity": float, "cover_a": float, "cover_b": float, "seeds": "int32"})
 
@@ -185,32 +217,34 @@ def split_overlaps(df: DataFrame, ident: str = "pos", text: str = "text", split:
     similarity and coverage 1. Rows without a split, and null, blank or
     wordless texts, overlap with nothing. ``share`` and ``least`` say which
     fingerprints count as stock phrases: at most (fingerprints per text) / ``share``,
-    which bounds what is sent to the workers.
+    which bounds what is sent to the workers. They change the work, not the pairs.
     """
     spark = df.sparkSession
     side = F.when(F.col(split) == train, F.lit(TRAIN)).when(F.col(split).isin(*others), F.lit(EVAL))
     base = df.select(F.col(ident).alias("i"), side.cast("byte").alias("side"), word_array(F.col(text)).alias("words")).where("side is not null")
     # Words are hashed to 32 bits: two different words of a pair look alike once in 2**32 times, and the texts travel at half the size.
     base = base.select("i", "side", F.xxhash64("words").alias("h"), F.transform("words", lambda w: F.hash(w)).alias("words"))
-    base = materialize(base.withColumn("n", F.size(F.array_distinct("words"))), "texts")
-    texts = base.where("n > 0").select("h", "side", "n", "words")
-    count = texts.count()
-    hot = hot_keys(texts.mapInPandas(_rows(None), _FP), "key", share, least, count)[0]
-    hot = spark.sparkContext.broadcast(hot)
-    of = {v: texts.where(f"side = {v}").mapInPandas(_rows(hot), _FP) for v in (TRAIN, EVAL)}
+    base = materialize(base.withColumn("n", F.size(F.array_distinct("words"))).where("n > 0"), "texts")
+    m = materialize(base.select("i", "h", "side"), "members")
+    # Every text once a side: with copies a fingerprint would be met as often as the product of its copies.
+    once = materialize(base.groupBy("h", "side").agg(F.first("n").alias("n"), F.first("words").alias("words")), "once")
+    release(base)
+    of = {v: once.where(f"side = {v}") for v in (TRAIN, EVAL)}
+    count = once.count()
+    hot = spark.sparkContext.broadcast(hot_keys(once.mapInPandas(_rows(None), _FP), "key", share, least, count))
     # The distance of two odd sketches never exceeds the difference of the sets, so nothing similar is passed over.
-    slope, low = (1 - threshold) / (1 + threshold), 2**32 - 1
-    near = f"bit_count(x.s0 ^ y.s0) + bit_count(x.s1 ^ y.s1) <= {slope} * ((x.pn & {low}) + (y.pn & {low})) + 1e-9"
+    slope = (1 - threshold) / (1 + threshold)
+    near = f"bit_count(x.s0 ^ y.s0) + bit_count(x.s1 ^ y.s1) <= {slope} * (x.n + y.n) + 1e-9 and least(x.n, y.n) >= {threshold} * greatest(x.n, y.n) - 1e-9"
     # A plain join: a crowded key makes a skewed partition, which the adaptive plan splits.
-    j = of[TRAIN].alias("x").join(of[EVAL].alias("y"), F.expr(f"x.key = y.key and x.h <> y.h and {near}"))
-    seed = F.struct(F.shiftright(F.col("x.pn"), 32).cast("int").alias("pa"), F.shiftright(F.col("y.pn"), 32).cast("int").alias("pb"))
-    pairs = materialize(j.groupBy(F.col("x.h").alias("ha"), F.col("y.h").alias("hb")).agg(F.collect_set(seed).alias("seeds")), "seeded")
-    once = texts.join(pairs.select(F.col("ha").alias("h"), F.lit(TRAIN).alias("side")).union(pairs.select("hb", F.lit(EVAL))).distinct(), ["h", "side"], "left_semi").dropDuplicates(["h", "side"])
-    full = pairs.join(once.where(f"side = {TRAIN}").select(F.col("h").alias("ha"), F.col("words").alias("wa")), "ha")
-    full = full.join(once.where(f"side = {EVAL}").select(F.col("h").alias("hb"), F.col("words").alias("wb")), "hb")
+    x, y = (of[v].mapInPandas(_rows(hot), _FP) for v in (TRAIN, EVAL))
+    pairs = x.alias("x").join(y.alias("y"), F.expr(f"x.key = y.key and x.h <> y.h and {near}")).select(F.col("x.h").alias("ha"), F.col("y.h").alias("hb"))
+    if len(hot.value[0]):
+        pairs = pairs.unionByName(meet(of[TRAIN], of[EVAL], _crowded(hot), threshold, int(hot.value[1].sum())))
+    pairs = materialize(pairs.distinct(), "seeded")
+    full = pairs.join(of[TRAIN].select(F.col("h").alias("ha"), F.col("words").alias("wa")), "ha")
+    full = full.join(of[EVAL].select(F.col("h").alias("hb"), F.col("words").alias("wb")), "hb")
     aligned = materialize(full.mapInPandas(_align(threshold), "ha long, hb long, similarity double, cover_a double, cover_b double, seeds int"), "aligned")
-    release(pairs)
-    m = base.where("n > 0").select("i", "h", "side")
+    release(pairs, once)
     left = m.where(f"side = {TRAIN}").select(F.col("i").alias("a"), F.col("h").alias("ha"))
     right = m.where(f"side = {EVAL}").select(F.col("i").alias("b"), F.col("h").alias("hb"))
     one = F.lit(1.0)

@@ -3,11 +3,13 @@
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from msgsieve.llm import encoding, history, languages, mailparts, mixing, packing, pii, residue, winnow
+from msgsieve.llm import crowds, encoding, history, languages, mailparts, mixing, packing, pii, residue, winnow
 from msgsieve.llm.crf import Crf
+from msgsieve.llm.words import flatten
 
 
 # ---------------------------------------------------------------- p3: pooled chains
@@ -185,3 +187,39 @@ def test_gaps_are_filled_with_what_fits(spark):
     plan = spark.createDataFrame([(1, "a", 1.0, 1, 0.3)], "plan_id int, source string, target_share double, max_repeats int, budget_share double")
     s = mixing.mix_sources(d, plan)[1].first()
     assert s["drawn_tokens"] <= s["target_tokens"] < s["drawn_tokens"] + 5
+
+
+def test_stock_phrases_lose_no_pair(spark):
+    """Texts near the threshold that meet only under crowded fingerprints are all found, short and long ones."""
+    rng = random.Random(31)
+    rows = []
+    for g, size in ((0, 24), (1, 60), (2, 200)):
+        base = [f"g{g}w{i}" for i in range(size)]
+        for i in range(60):
+            t = list(base)
+            for at in rng.sample(range(6, size), max(1, int(size * 0.085))):
+                t[at] = f"g{g}x{i}y{at}"
+            rows.append((1000 * g + i, " ".join(t), "train" if i % 2 else "val"))
+    sets = {r[0]: set(r[1].split()) for r in rows}
+    want = {(a[0], b[0]) for a in rows for b in rows if a[2] == "train" and b[2] == "val" and len(sets[a[0]] & sets[b[0]]) / len(sets[a[0]] | sets[b[0]]) >= 0.7 - 1e-12}
+    df = spark.createDataFrame(rows, "pos long, text string, split string")
+    hot, cold = ({(r["a"], r["b"]): (r["seeds"], round(r["cover_a"], 9)) for r in winnow.split_overlaps(df, share=0.0, least=least).collect()} for least in (2, 1 << 30))
+    assert set(hot) == want and hot == cold
+
+
+def test_crowds_in_cells_and_tiles(spark, monkeypatch):
+    """A crowd in several cells, and tiles smaller than it, give the pairs of the whole."""
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 1 << 40, (3, 300))
+    sets = [np.unique(np.concatenate([base[i % 3][: 40 * (i % 7 + 1)], rng.integers(0, 1 << 40, 5)])) for i in range(90)]
+    flat, offsets, n = flatten(sets)
+    sk = crowds.wide_sketches(flat, offsets)
+    h, key = np.arange(90) + 7, np.full(90, 11)
+    want = {(int(h[a]), int(h[b])) for a in range(0, 90, 2) for b in range(1, 90, 2) if len(np.intersect1d(sets[a], sets[b])) / len(np.union1d(sets[a], sets[b])) >= 0.7}
+    objects = np.array(sk, dtype=object)
+    p, q = crowds.close_pairs(n[::2], objects[::2], n[1::2], objects[1::2], 0.7, (4, 8))
+    assert want and want <= set(zip(h[::2][p].tolist(), h[1::2][q].tolist()))
+    monkeypatch.setattr(crowds, "CELL", 20)
+    cells = pd.concat([crowds.hot_rows(key[s::2], h[s::2], n[s::2], s, sk[s::2], (np.array([11]), np.array([90]))) for s in (0, 1)]).sort_values("key")
+    got = pd.concat(list(crowds._meet(0.7)(cells.iloc[i : i + 7] for i in range(0, len(cells), 7))))
+    assert cells["key"].nunique() == 25 and want <= set(zip(got["ha"].tolist(), got["hb"].tolist())) and not got.duplicated().any()
