@@ -2,9 +2,11 @@ import itertools
 import math
 import random
 import re
+from collections import Counter
 
 from pyspark.sql import functions as F
 
+from msgsieve import session
 from msgsieve.functions import urls as ur
 from msgsieve.operators import dedup, metrics, retrieval, similarity, splits
 from msgsieve.operators.graph import connected_components
@@ -164,3 +166,54 @@ def test_catalogue_names(spark):
 
     assert set(e.oracle_sql()) <= set(e.queries())
     assert e.entry(spark).count() > 0
+
+
+def _written(spark):
+    return {n.rsplit("-", 1)[0] + n[-8:] for n in session.list_names(spark, session.shared_dir(spark) + "/msgsieve") if n.startswith(("terms-", "vectors-"))}
+
+
+def _brute(rows, threshold):
+    """Pairs by the cosine of all vectors; rows of one identifier are one document."""
+    tf = {}
+    for doc, text in rows:
+        w = [x for x in text.split() if len(x) > 1]
+        tf.setdefault(doc, Counter()).update(w + [f"{a} {b}" for a, b in zip(w, w[1:])])
+    df = Counter(t for c in tf.values() for t in c)
+    v = {d: {t: (1 + math.log(k)) * (math.log((1 + len(rows)) / (1 + df[t])) + 1) for t, k in c.items()} for d, c in tf.items()}
+    n = {d: math.sqrt(sum(x * x for x in c.values())) for d, c in v.items()}
+    return {(i, j) for i in v for j in v if i < j and sum(x * v[j].get(t, 0.0) for t, x in v[i].items()) >= (threshold - 1e-12) * n[i] * n[j]}
+
+
+def test_similar_pairs_by_frequent_and_rare_terms(spark):
+    """The same pairs whichever terms count as frequent, copies and shared identifiers included; tables go."""
+    rng = random.Random(41)
+    rows = []
+    for g in range(6):
+        base = [rng.choice("common words of many texts and some of few".split()) if k % 2 else f"g{g}w{k}" for k in range(24)]
+        rows += [(100 * g + i, " ".join(t if rng.random() > 0.08 else f"x{rng.randint(0, 400)}" for t in base)) for i in range(12)]
+    rows += [(rows[0][0], "added to the first"), (5000, rows[5][1])]
+    want = _brute(rows, 0.8)
+    df = spark.createDataFrame(rows, "id long, text string")
+    before = _written(spark)
+    assert {(r["i"], r["j"]) for r in similarity.similar_pairs(df, "id", "text", 0.8).collect()} >= {p for p in want if rows[0][0] not in p}
+    assert _written(spark) == before
+    words = similarity.with_bigrams(F.split("text", " "))
+    table = session.materialize(similarity.term_table(df, "id", F.filter(words, lambda w: F.length(w) > 1)), "terms")
+    got = [{(r["i"], r["j"]) for r in similarity.cosine_pairs(session.materialize(similarity.vectors(table, df.select("id"), 0.8, share, least), "vectors"), 0.8).collect()} for share, least in ((0.0, 1), (0.2, 10), (1.0, 1000))]
+    assert len(want) > 50 and got == [want] * 3
+
+
+def test_candidates_are_bounded(spark):
+    """Pairs of one rare term in common and nothing else are no candidates."""
+    rows = [(i, " ".join([f"e{a % 40}x{b % 40}" for a, b in ((i, i + 1), (i - 1, i), (i, i + 2), (i - 2, i))] + [f"c{i // 4}x{k}" for k in range(8)])) for i in range(40)]
+    vec = similarity.tfidf(spark.createDataFrame(rows, "id long, text string"), "id", F.split("text", " "), 0.8)
+    rare = vec.select("doc", F.explode("rare").alias("t"))
+    assert rare.alias("a").join(rare.alias("b"), F.expr("a.t = b.t and a.doc < b.doc")).count() == 80
+    assert similarity.candidates(vec, 0.8).count() == 0
+
+
+def test_trimming_leaves_no_tables(spark):
+    rows = [(i, f"the very same words of text {'abcdefgh'[i % 8] * 3} again and again", ("train", "val", "test")[i % 3]) for i in range(24)]
+    before = _written(spark)
+    kept, n = similarity.trim_cross_split(spark.createDataFrame(rows, "pos long, text string, split string"))
+    assert n == 16 and {r["split"] for r in kept.collect()} == {"train"} and _written(spark) == before
