@@ -229,23 +229,24 @@ def common_closings() -> Closings:
     return Closings([])
 
 
-def new_part(text: str | None, closings: Closings | None = None, lines: bytes = b"", gain: float = 0.6, run: int = 6) -> tuple[str, list[str]]:
+def new_part(text: str | None, closings: Closings | None = None, lines: bytes | list[bytes] = b"", gain: float = 0.6, run: int = 6) -> tuple[str, list[str]]:
     """(newly written text, kinds of the other parts, sorted).
 
-    Null and empty texts give ("", []). ``lines`` are what the sender closes mails with. A paragraph that repeats them
+    Null and empty texts give ("", []). ``lines`` are what the sender closes mails with, in one text or several. A paragraph that repeats them
     or the thread goes only if ``run`` or more of its words in a row cover nine tenths
     of it; text that merely resembles them stays.
     """
     parts = read_parts(text, closings or common_closings())
     other = {k for k, _ in parts} - {NEW}
-    if not other and not lines:
+    lines = [lines] if isinstance(lines, bytes) else lines
+    if not other and not any(lines):
         return text or "", []
     old = "\n".join(re.sub(r"^[\s>|]+", "", u) for k, u in parts if k == QUOTE)
     keep = []
     known: dict[bytes, set[tuple[str, ...]]] = {}
     for u in (line for k, part in parts if k == NEW for line in part.split("\n")):
         kind = None
-        for d, means in ((old.encode(), QUOTE), (lines, SIGN)) if len(u) > 40 else ():
+        for d, means in ((old.encode(), QUOTE), *((x, SIGN) for x in lines)) if len(u) > 40 else ():
             if d and compression_gain(u, d) >= gain:
                 if d not in known:
                     words = _TOKEN.findall(d.decode(errors="ignore").lower())
@@ -347,12 +348,23 @@ def closing_phrases(mails: DataFrame, text: str, share: float = 1.2e-3, least: i
     return [r[0] for r in found.select("phrase").collect()]
 
 
-def sender_closings(mails: DataFrame, text: str, sender: str, buckets: int = 256, least: int = 3) -> dict[int, bytes]:
-    """Lines of signatures and notices that senders repeat, as dictionaries by bucket of senders.
+def _pieces(lines: list[str], size: int = 16_384) -> list[str]:
+    """All lines in order, in as few texts as hold them with at most ``size`` bytes each; half a deflate window, the other half is for what is compared."""
+    out, at = [], 0
+    for line in lines:
+        n = len(line.encode()) + 1
+        if not out or at + n > size:
+            out.append([])
+            at = 0
+        out[-1].append(line)
+        at += n
+    return ["\n".join(p) for p in out]
 
-    Lines are counted over all mails before they are ranked. A bucket's dictionary
-    is what a deflate window holds (32 KB), so the result has a fixed bound
-    of ``buckets`` windows.
+
+def sender_closings(mails: DataFrame, text: str, sender: str, least: int = 3) -> DataFrame:
+    """(sender, pieces): all lines of signatures and notices that a sender repeats, in texts of half a deflate window each.
+
+    Lines are counted over all mails; the most frequent ones stand last, where a window finds them cheapest.
     """
 
     def lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -366,23 +378,16 @@ def sender_closings(mails: DataFrame, text: str, sender: str, buckets: int = 256
 
     raw = mails.where(F.col(sender).isNotNull()).select(F.col(sender).alias("sender"), F.col(text).alias("text"))
     counted = raw.mapInPandas(lines, "sender string, line string, n long").groupBy("sender", "line").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    b = F.pmod(F.xxhash64("sender"), F.lit(buckets)).cast("int")
-    per = counted.select(b.alias("bucket"), "line", "n")
-    top = per.groupBy("bucket", "line").agg(F.sum("n").alias("n"))
+    of = counted.groupBy("sender").agg(F.transform(F.sort_array(F.collect_list(F.struct("n", "line"))), lambda x: x["line"]).alias("lines"))
 
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["n", "line"])
-        return pd.DataFrame({"bucket": [int(pdf["bucket"].iloc[0])], "lines": ["\n".join(pdf["line"])[-32768:]]})
-
-    from pyspark.sql import Window
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({"sender": pdf["sender"], "pieces": [_pieces(list(x)) for x in pdf["lines"]]})
 
-    room = F.sum(F.length("line") + 1).over(Window.partitionBy("bucket").orderBy(F.desc("n"), "line").rowsBetween(Window.unboundedPreceding, 0))
-    fits = top.withColumn("room", room).where("room <= 32768").drop("room")
-    found = fits.groupBy("bucket").applyInPandas(pack, "bucket int, lines string").toPandas()
-    return {int(r.bucket): r.lines.encode() for r in found.itertuples()}
+    return of.mapInPandas(pack, "sender string, pieces array<string>")
 
 
-def reduce_mails(df: DataFrame, ident: str = "pos", text: str = "text", source: str = "source", sender: str = "sender", mail_sources: str = "mail|synthetic", buckets: int = 256) -> DataFrame:
+def reduce_mails(df: DataFrame, ident: str = "pos", text: str = "text", source: str = "source", sender: str = "sender", mail_sources: str = "mail|synthetic") -> DataFrame:
     """(ident, new_text, parts, new_words): one row per row of a mail source.
 
     ``parts`` names what else the mail holds; it is empty for rows without an
@@ -392,17 +397,16 @@ def reduce_mails(df: DataFrame, ident: str = "pos", text: str = "text", source:
     mails = df.where(F.coalesce(F.col(source), F.lit("")).rlike(mail_sources))
     mails = mails.select(F.col(ident).alias("ident"), F.col(text).alias("text"), F.col(sender).cast("string").alias("sender"))
     spark = df.sparkSession
-    closings = Closings(closing_phrases(mails, "text"))
-    known = spark.sparkContext.broadcast((closings, sender_closings(mails, "text", "sender", buckets)))
+    known = spark.sparkContext.broadcast(Closings(closing_phrases(mails, "text")))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        phrases, lines = known.value
         for pdf in batches:
-            rows = [new_part(t, phrases, lines.get(b, b"")) for t, b in zip(pdf["text"], pdf["bucket"])]
+            rows = [new_part(t, known.value, [x.encode() for x in p] if p is not None else []) for t, p in zip(pdf["text"], pdf["pieces"])]
             yield pd.DataFrame({ident: pdf["ident"], "new_text": [r[0] for r in rows], "parts": [r[1] for r in rows],
                                 "new_words": np.array([len(r[0].split()) for r in rows], dtype=np.int64)})
 
-    bucket = F.when(F.col("sender").isNull(), -1).otherwise(F.pmod(F.xxhash64("sender"), F.lit(buckets)).cast("int"))
     kind = dict(df.dtypes)[ident]
-    cols = mails.select("ident", "text", bucket.alias("bucket"))
+    # Mails without a sender have no lines to wait for.
+    cols = mails.where("sender is not null").join(sender_closings(mails, "text", "sender"), "sender", "left").select("ident", "text", "pieces")
+    cols = cols.unionByName(mails.where("sender is null").select("ident", "text", F.lit(None).cast("array<string>").alias("pieces")))
     return cols.mapInPandas(run, f"{ident} {kind}, new_text string, parts array<string>, new_words long")

@@ -223,3 +223,24 @@ def test_crowds_in_cells_and_tiles(spark, monkeypatch):
     cells = pd.concat([crowds.hot_rows(key[s::2], h[s::2], n[s::2], s, sk[s::2], (np.array([11]), np.array([90]))) for s in (0, 1)]).sort_values("key")
     got = pd.concat(list(crowds._meet(0.7)(cells.iloc[i : i + 7] for i in range(0, len(cells), 7))))
     assert cells["key"].nunique() == 25 and want <= set(zip(got["ha"].tolist(), got["hb"].tolist())) and not got.duplicated().any()
+
+
+def test_every_line_of_a_sender_counts(spark):
+    """Senders of more repeated lines than one window holds: their rarest line still tells a signature from new text."""
+    def line(s, k):
+        return " ".join(f"s{s}{chr(97 + k % 26)}{(s * 7919 + k * 104729 + j * 1299709) % 99991:05d}" for j in range(24))
+
+    rows = []
+    for s in range(3):
+        for k in range(200):
+            rows += [(len(rows) + i, f"news of {s} {k} {i}\n\n-- \nDesk\n{line(s, k)}", "mail", f"sender{s}") for i in range(3 + (k > 0))]
+    probes = {10_000 + s: f"Something entirely new this time\n{line(s, 0)}" for s in range(3)}
+    df = spark.createDataFrame(rows + [(k, t, "mail", f"sender{k - 10_000}") for k, t in probes.items()] + [(20_000, line(1, 0), "mail", None)], "pos long, text string, source string, sender string")
+    lines = mailparts.sender_closings(df, "text", "sender").collect()
+    assert {r["sender"]: sum(len(p.split("\n")) for p in r["pieces"]) for r in lines} == {f"sender{s}": 200 for s in range(3)}
+    assert all(len(r["pieces"]) > 1 and max(len(p.encode()) for p in r["pieces"]) <= 16_384 for r in lines)
+    pieces = {r["sender"]: [p.encode() for p in r["pieces"]] for r in lines}
+    for k, t in probes.items():
+        assert mailparts.new_part(t, None, pieces[f"sender{k - 10_000}"]) == ("Something entirely new this time", ["signature"])
+        assert mailparts.new_part(t, None, pieces[f"sender{(k + 1) % 3}"]) == (t, [])
+    assert mailparts.reduce_mails(df).count() == len(rows) + 4
