@@ -36,7 +36,7 @@ def wide_sketches(flat: np.ndarray, offsets: np.ndarray) -> list[bytes]:
     return [odd[e - b : e] for e, b in zip((end // 8).tolist(), (bits // 8).tolist())]
 
 
-def hot_rows(key: np.ndarray, h: np.ndarray, n: np.ndarray, side: int, sk: list[bytes], hot: tuple[np.ndarray, np.ndarray]) -> pd.DataFrame:
+def hot_rows(key: np.ndarray, h: np.ndarray, n: np.ndarray, side: int, sk: list[bytes], hot: tuple[np.ndarray, np.ndarray], rank: np.ndarray | None = None) -> pd.DataFrame:
     """Rows for ``meet`` of keys that all stand in ``hot`` (sorted keys, counts): a large crowd is cut into a grid whose cells cover all pairs."""
     blocks = np.maximum(-(-hot[1][np.searchsorted(hot[0], key)] // CELL), 1)
     own = (mix(h.view(np.uint64), 89) % blocks.astype(np.uint64)).astype(np.int64)
@@ -45,6 +45,8 @@ def hot_rows(key: np.ndarray, h: np.ndarray, n: np.ndarray, side: int, sk: list[
     cell = own[i] * blocks[i] + other if side else other * blocks[i] + own[i]
     k = np.where(blocks[i] == 1, key[i], mix(key[i].view(np.uint64) ^ mix(cell.astype(np.uint64), 97), 101).view(np.int64))
     out = pd.DataFrame({"key": k, "h": h[i], "n": n[i].astype(np.int32), "side": np.full(len(i), side, np.int8), "sk": np.array(sk, dtype=object)[i] if len(i) else np.zeros(0, object)})
+    if rank is not None:
+        out["rank"] = rank[i].astype(np.int32)
     return out.drop_duplicates(["key", "h"])
 
 
@@ -66,8 +68,8 @@ def _fold(x: np.ndarray, width: int) -> np.ndarray:
     return x
 
 
-def close_pairs(n0: np.ndarray, sk0: np.ndarray, n1: np.ndarray, sk1: np.ndarray, threshold: float, tile: tuple[int, int] = (256, 1024)) -> tuple[np.ndarray, np.ndarray]:
-    """(row of the first, row of the second) of all pairs whose sketches and sizes allow the similarity ``threshold``."""
+def close_pairs(n0: np.ndarray, sk0: np.ndarray, n1: np.ndarray, sk1: np.ndarray, threshold: float, tile: tuple[int, int] = (256, 1024), ranks: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(row of the first, row of the second) of all pairs whose sketches and sizes allow the similarity ``threshold``, with ``ranks`` of both only where the second's is lower."""
     slope = (1 - threshold) / (1 + threshold)
     left, right = [], []
     for i0, s0 in _levels(n0, sk0):
@@ -87,21 +89,23 @@ def close_pairs(n0: np.ndarray, sk0: np.ndarray, n1: np.ndarray, sk1: np.ndarray
                     p, q = np.divmod(np.flatnonzero(d <= slope * (int(nu[-1]) + int(nv[-1])) + 1e-9), len(nv))
                     if len(p):
                         on = (d[p, q] <= slope * (nu[p] + nv[q]) + 1e-9) & (np.minimum(nu[p], nv[q]) >= threshold * np.maximum(nu[p], nv[q]) - 1e-9)
+                        if ranks is not None:
+                            on &= ranks[0][i0[x + p]] > ranks[1][i1[y + q]]
                         left.append(i0[x + p[on]])
                         right.append(i1[y + q[on]])
     none = np.zeros(0, np.int64)
     return (np.concatenate(left), np.concatenate(right)) if left else (none, none)
 
 
-def _meet(threshold: float):
+def _meet(threshold: float, ranked: bool = False):
     def groups(parts: list[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        c = {k: np.concatenate([p[k].to_numpy() for p in parts]) for k in ("key", "h", "n", "side", "sk")}
+        c = {k: np.concatenate([p[k].to_numpy() for p in parts]) for k in ("key", "h", "n", "side", "sk", *["rank"] * ranked)}
         start = np.flatnonzero(np.concatenate(([True], c["key"][1:] != c["key"][:-1])))
         for s, e in zip(start, [*start[1:], len(c["key"])]):
             one = c["side"][s:e] == 1
             x, y = np.flatnonzero(~one) + s, np.flatnonzero(one) + s
             if len(x) and len(y):
-                p, q = close_pairs(c["n"][x], c["sk"][x], c["n"][y], c["sk"][y], threshold)
+                p, q = close_pairs(c["n"][x], c["sk"][x], c["n"][y], c["sk"][y], threshold, ranks=(c["rank"][x], c["rank"][y]) if ranked else None)
                 p, q = x[p], y[q]
                 on = c["h"][p] != c["h"][q]
                 if on.any():
@@ -126,12 +130,14 @@ def _meet(threshold: float):
     return run
 
 
-def meet(first: DataFrame, second: DataFrame, rows: Callable, threshold: float, number: int) -> DataFrame:
+def meet(first: DataFrame, second: DataFrame, rows: Callable, threshold: float, number: int, ranked: bool = False) -> DataFrame:
     """(ha, hb), with repeats: pairs of a text of ``first`` and one of ``second`` that share a hot key and may be similar.
 
-    ``rows(side)`` gives the ``hot_rows`` of texts; ``number`` is about how many there are.
+    ``rows(side)`` gives the ``hot_rows`` of texts; ``number`` is about how many there are. ``ranked`` rows have a
+    rank: only pairs whose second text has the lower one count.
     """
-    both = first.mapInPandas(rows(0), _ROW).unionByName(second.mapInPandas(rows(1), _ROW))
+    kind = _ROW + ", rank int" * ranked
+    both = first.mapInPandas(rows(0), kind).unionByName(second.mapInPandas(rows(1), kind))
     cores = first.sparkSession.sparkContext.defaultParallelism
     parts = max(2 * cores, partitions_for(first.sparkSession, number, 500_000))
-    return both.repartition(parts, "key").sortWithinPartitions("key").mapInPandas(_meet(threshold), "ha long, hb long")
+    return both.repartition(parts, "key").sortWithinPartitions("key").mapInPandas(_meet(threshold, ranked), "ha long, hb long")

@@ -13,11 +13,12 @@ pairs apart that cannot be similar; those whose word sets reach the threshold
 are near copies. The history is never shuffled or hashed again. A batch may hold several ingests, which are then
 checked against each other as well, in their order.
 
-A paragraph of very many texts is a stock phrase; its texts meet only where they also
+A paragraph of very many texts is a stock phrase; its texts meet first where they also
 agree in the smallest hashes of their words, still under the paragraph's own key. What
 is crowded even so, a message with very many copies, is laid out in blocks: a
 batch meets the first block of every crowd, and what has found no match there
-meets all the others.
+meets all the others. What then still has no match is compared with every earlier text of its
+stock phrases, pair by pair (``crowds``), so a stock phrase hides no match either.
 """
 
 from __future__ import annotations
@@ -28,13 +29,16 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import DoubleType
 
 from ..session import materialize, release, remove_path, shared_dir
 from .bitslice import odd_sketch
-from .words import flatten, hot_keys, mix, split_hot, word_hashes
+from .crowds import hot_rows, meet, wide_sketches
+from .words import flatten, hot_keys, is_common, mix, split_hot, word_hashes
 
 _TEXT = "h long, ingest int, n int, words array<long>, s0 long, s1 long"
 _PARAGRAPH = "key long, h long, ingest int, n int, w int, s0 long, s1 long"
+_STOCK = "key long, h long, ingest int, n int, sk binary"
 _COLS = ["key", "h", "ingest", "n", "w", "s0", "s1"]
 
 
@@ -93,6 +97,50 @@ def _hash_rows(hot_b):
     return run
 
 
+def _stock_rows(hot_b):
+    """The texts of stock phrases: one row per phrase of a text, with a sketch as wide as ``crowds`` wants it."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            pdf = pdf[pdf["n"] > 0]
+            if not len(pdf):
+                continue
+            r, k, _ = paragraphs(*flatten(pdf["words"])[:2])
+            on = is_common(k, hot_b.value)
+            sk = np.array(wide_sketches(*flatten([np.unique(w) for w in pdf["words"]])[:2]), dtype=object)
+            of = {c: pdf[c].to_numpy()[r[on]] for c in ("h", "ingest", "n")}
+            yield pd.DataFrame({"key": k[on], **of, "sk": sk[r[on]]}).drop_duplicates(["key", "h"])
+
+    return run
+
+
+def _crowded(counts_b):
+    """``_stock_rows`` as rows for ``meet``, ranked by their ingest."""
+
+    def rows(side: int):
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                if len(pdf):
+                    yield hot_rows(pdf["key"].to_numpy(), pdf["h"].to_numpy(), pdf["n"].to_numpy(), side, pdf["sk"].tolist(), counts_b.value, pdf["ingest"].to_numpy())
+
+        return run
+
+    return rows
+
+
+@F.pandas_udf(DoubleType())
+def _coverage(a: pd.Series, b: pd.Series) -> pd.Series:
+    """The share of the first text's words in paragraphs that both texts have, at most 1."""
+    both = []
+    for words in (a, b):
+        flat, offsets, lens = flatten(words)
+        r, k, w = paragraphs(flat, offsets)
+        both.append(pd.DataFrame({"r": r, "k": k, "w": w}).drop_duplicates(["r", "k"]))
+        size = lens if len(both) == 1 else size
+    shared = both[0].merge(both[1][["r", "k"]], on=["r", "k"])
+    return pd.Series(np.minimum(np.bincount(shared["r"], shared["w"], len(a)) / size, 1.0))
+
+
 def _sketches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         flat, offsets, _ = flatten([np.unique(w) for w in pdf["words"]])
@@ -186,27 +234,50 @@ class AcceptedHistory:
     def _met(self, fresh: DataFrame, keys: DataFrame, threshold: float) -> DataFrame:
         """(h, similarity, coverage) of the fresh texts that a text of an earlier ingest is near to.
 
-        ``coverage`` is the share of the text's words in paragraphs shared with its best match.
+        ``coverage`` is the share of the text's words in paragraphs shared with the best match among those met.
         """
         # The distance of two odd sketches never exceeds the difference of the sets, so nothing similar is passed over.
         slope = (1 - threshold) / (1 + threshold)
         near = f"bit_count(x.s0 ^ y.s0) + bit_count(x.s1 ^ y.s1) <= {slope} * (x.n + y.n) + 1e-9 and least(x.n, y.n) >= {threshold} * greatest(x.n, y.n) - 1e-9"
         shared = keys.alias("x").join(self.table("paragraphs").alias("y"), F.expr(f"x.key = y.key and x.ingest > y.ingest and {near}"))
-        pairs = shared.groupBy(F.col("x.h").alias("ha"), F.col("y.h").alias("hb")).agg(F.sum("x.w").alias("w"))
+        return self._best(fresh, shared.select(F.col("x.h").alias("ha"), F.col("y.h").alias("hb")).distinct(), threshold)
+
+    def _best(self, fresh: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
+        """(h, similarity, coverage) of the fresh texts ``ha`` that have a text ``hb`` of the history as similar as ``threshold``."""
         full = pairs.join(fresh.select(F.col("h").alias("ha"), F.col("words").alias("wa")), "ha")
         full = full.join(self.table("content").select(F.col("h").alias("hb"), F.col("words").alias("wb")), "hb")
         both = F.size(F.array_intersect("wa", "wb"))
         sim = both / (F.size(F.array_distinct("wa")) + F.size(F.array_distinct("wb")) - both)
-        cover = F.least(F.lit(1.0), F.col("w") / F.size("wa"))
-        found = full.select(F.col("ha").alias("h"), sim.alias("similarity"), cover.alias("coverage")).where(f"similarity >= {threshold} - 1e-12")
+        found = full.select(F.col("ha").alias("h"), "wa", "wb", sim.alias("similarity")).where(f"similarity >= {threshold} - 1e-12")
+        found = found.select("h", "similarity", _coverage("wa", "wb").alias("coverage"))
         best = found.groupBy("h").agg(F.max(F.struct("similarity", "coverage")).alias("m"))
         return best.select("h", "m.similarity", "m.coverage")
 
+    def _rest(self, fresh: DataFrame, near: DataFrame, threshold: float) -> DataFrame | None:
+        """As ``_met``, of the texts of stock phrases that are not in ``near``, against all earlier texts of these phrases."""
+        fresh.mapInPandas(_stock_rows(self.hot), _STOCK).write.mode("append").parquet(f"{self.path}/stock")
+        stock = self.spark.read.schema(_STOCK).parquet(f"{self.path}/stock")
+        # Stock phrases are bounded by ``share``.
+        sums = stock.groupBy("key").agg(F.count("*").alias("n"), F.min("ingest").alias("first")).toPandas().sort_values("key")
+        if not len(sums):
+            return None
+        left = materialize(fresh.where(F.col("ingest") > int(sums["first"].min())).join(near, "h", "left_anti").mapInPandas(_stock_rows(self.hot), _STOCK), "left")
+        last = left.agg(F.max("ingest")).first()[0]
+        if last is None:
+            release(left)
+            return None
+        counts = self.spark.sparkContext.broadcast((sums["key"].to_numpy(np.int64), sums["n"].to_numpy(np.int64)))
+        pairs = materialize(meet(left, stock.where(F.col("ingest") < last), _crowded(counts), threshold, int(sums["n"].sum()), True).distinct(), "met")
+        out = materialize(self._best(fresh, pairs, threshold), "near")
+        release(left, pairs)
+        return out
+
     def take(self, batch: DataFrame, threshold: float = 0.7) -> DataFrame:
         """(i, ingest, full, similarity, coverage): appends a batch and gives its rows that an earlier ingest already holds.
 
         ``full`` rows are copies of an accepted text, with similarity and coverage 1. Rows of one
-        ingest do not count as copies of each other. Rows without words match nothing.
+        ingest do not count as copies of each other. Rows without words match nothing. Every row that a text of an earlier
+        ingest with a paragraph in common is similar to is found; in a crowd the similarity and coverage are those of the best text it met.
         """
         first = not self.appends
         fresh = self._fresh(batch)
@@ -232,6 +303,12 @@ class AcceptedHistory:
             more = materialize(near.unionByName(self._met(fresh, probes, threshold)), "near")
             release(near)
             near = more
+        if len(self.hot.value):
+            rest = self._rest(fresh, near, threshold)
+            if rest is not None:
+                more = materialize(near.unionByName(rest), "near")
+                release(near, rest)
+                near = more
         state = fresh.select("h", F.col("ingest").alias("first")).join(near, "h", "left")
         hit = batch.where("n > 0").select("i", "ingest", "h").join(state, "h", "left").where("first is null or ingest > first or similarity is not null")
         full = F.col("first").isNull() | (F.col("ingest") > F.col("first"))
@@ -244,6 +321,7 @@ class AcceptedHistory:
         for kind in ("content", "paragraphs"):
             self.spark.sql(f"DROP TABLE IF EXISTS {self.name}_{kind}")
             remove_path(self.spark, f"{self.path}/{kind}")
+        remove_path(self.spark, f"{self.path}/stock")
 
 
 def check_ingests(df: DataFrame, batches: list[list[int]], ident: str = "pos", text: str = "text", ingest: str = "ingest_no", threshold: float = 0.7, **kw) -> DataFrame:

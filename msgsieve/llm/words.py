@@ -62,7 +62,8 @@ def split_hot(row: np.ndarray, key: np.ndarray, flat: np.ndarray, offsets: np.nd
     A piece of text that very many rows hold says little, so rows meet under it
     only where they also agree in the rest: every band joins the key with
     ``minima`` smallest hashes of the row's own words. Two rows of similarity j
-    miss each other under a hot key with probability (1 - j**minima)**bands, drawn anew for every key.
+    miss each other under a hot key with probability (1 - j**minima)**bands, drawn anew for every key: a first
+    pass, after which the caller compares what found no partner with all rows of its hot keys.
     """
     on = is_common(key, hot)
     cold, at = np.flatnonzero(~on), np.flatnonzero(on)

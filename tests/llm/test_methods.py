@@ -244,3 +244,21 @@ def test_every_line_of_a_sender_counts(spark):
         assert mailparts.new_part(t, None, pieces[f"sender{k - 10_000}"]) == ("Something entirely new this time", ["signature"])
         assert mailparts.new_part(t, None, pieces[f"sender{(k + 1) % 3}"]) == (t, [])
     assert mailparts.reduce_mails(df).count() == len(rows) + 4
+
+
+def test_history_under_a_stock_phrase(spark):
+    """Texts of many ingests that share nothing but one stock phrase in one piece: every near copy is found."""
+    rng = random.Random(12)
+    phrase = "please reply to this message at once".split()
+    rows = [(i, " ".join(phrase + [f"f{i}x{k}" for k in range(12)]), 1) for i in range(120)]
+    for i in range(60):
+        # The same words in another order: no paragraph but the stock phrase is shared.
+        own = [f"g{i}x{k}" for k in range(30)]
+        rows.append((1000 + i, " ".join(phrase + own), 1))
+        other = own[:26] + [f"e{i}x{k}" for k in range(4)]
+        rng.shuffle(other)
+        rows.append((2000 + i, " ".join(phrase + other), 2 + i % 2))
+    d = spark.createDataFrame(rows, "pos long, text string, ingest_no int")
+    got = {r["pos"]: r for r in history.seen_before(d, share=0.0, least=40).collect()}
+    assert set(got) == {2000 + i for i in range(60)}
+    assert all(abs(r["similarity"] - 33 / 41) < 1e-12 and 0 < r["coverage"] < 0.5 for r in got.values())
