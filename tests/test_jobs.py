@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from msgsieve.functions import replies, screens, styles
-from msgsieve.operators import audit, features, levels, metrics, protocol, ranks, retrieval, similarity, splits, triage, verdict
+from msgsieve.operators import audit, features, heldout, levels, metrics, protocol, ranks, retrieval, similarity, splits, triage, verdict
 from msgsieve.plans import pipeline
 from msgsieve.sources import readers
 from msgsieve.streaming import stateful
@@ -268,3 +268,23 @@ def test_readers_of_missing_and_broken_files(spark, tmp_path):
     with pytest.raises(Exception):
         readers.read_blocklist_csv(spark, str(tmp_path / "bad.csv")).count()
     assert protocol.generation_plan(spark, {"en": 2}, ["t"], "e", 0).count() == 0 and protocol.generation_plan(spark, {"en": 2}, ["t"], "e", 1).count() == 6
+
+
+def test_held_out_models_together(spark, monkeypatch):
+    """Every margin equals that of a model fitted alone, whichever terms count as frequent, and a text is cut once a kind."""
+    df = messages(spark).withColumn("source", F.when(F.col("pos") % 17 == 3, None).otherwise(F.col("source"))).withColumn("text", F.concat("text", F.lit(" 🙂 ÄÖ x "), F.col("pos") % 7))
+    cuts = []
+    real = features.term_counts
+    monkeypatch.setattr(features, "term_counts", lambda *a, **k: cuts.append(1) or real(*a, **k))
+    protocol.run_protocol(df.where("text is not null"), F.col("text")).collect()
+    assert not cuts
+    for kind in ("word", "char"):
+        docs = heldout.documents(df.where("split is not null"), F.col("text"), kind, ["a", "b"])
+        got = [{r["pos"]: (r["margin"], r["held_margin"]) for r in heldout.margins(docs, 2, share=share, least=least).collect()} for share, least in ((0.2, 10), (1.0, 1 << 30))]
+        rest = df.where("split <> 'train'")
+        assert set(got[0]) == set(got[1]) == {r["pos"] for r in rest.select("pos").collect()}
+        for i, name in enumerate((None, "a", "b")):
+            train = df.where("split = 'train'") if name is None else features.leave_one_source_out(df, name)[0]
+            own = rest if name is None else rest.where(F.col("source") == name)
+            want = features.score_linear(own, features.fit_linear(train, F.col("text"), kind=kind), F.col("text"), kind=kind).collect()
+            assert want and all(abs(g[r["pos"]][i > 0] - r["margin"]) < 1e-9 for g in got for r in want)
