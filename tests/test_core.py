@@ -217,3 +217,19 @@ def test_trimming_leaves_no_tables(spark):
     before = _written(spark)
     kept, n = similarity.trim_cross_split(spark.createDataFrame(rows, "pos long, text string, split string"))
     assert n == 16 and {r["split"] for r in kept.collect()} == {"train"} and _written(spark) == before
+
+
+def test_only_vectors_of_candidates_travel(spark, monkeypatch):
+    """Documents without a candidate are not shuffled for the products, nothing is left over, and few buckets change no pair."""
+    rows = [(i, f"one of the two copies number {'abcdefghij'[i // 2] * 4}") for i in range(20)] + [(100 + i, " ".join(f"u{i}x{k}" for k in range(12))) for i in range(200)]
+    df = spark.createDataFrame(rows, "id long, text string")
+    words = F.split("text", " ")
+    seen = []
+    real = similarity.release
+    monkeypatch.setattr(similarity, "release", lambda *t: seen.extend(x.count() for x in t if x.columns == ["i", "j"]) or real(*t))
+    want = _brute(rows, 0.9)
+    for buckets in (1, 1 << 20):
+        monkeypatch.setattr(similarity, "BUCKETS", buckets, raising=False)
+        out = similarity.cosine_pairs(similarity.tfidf(df, "id", similarity.with_bigrams(words), 0.9), 0.9)
+        assert len(want) == 10 and {(r["i"], r["j"]) for r in out.collect()} == want
+    assert seen == [10, 10] and not [n for n in session.list_names(spark, session.shared_dir(spark) + "/msgsieve") if n.startswith("candidates-")]
