@@ -84,7 +84,7 @@ def new_source(raw: DataFrame, reference: DataFrame, key: str = "pos", threshold
     clean = raw.withColumn("text", tx.preprocess_text(F.col("text_raw"))).withColumn("id", tx.make_id(F.col("text"))).where("trim(text) <> ''")
     clean = materialize(clean, "cleaned")
     exact = materialize(dedup.deduplicate(clean), "exact")
-    near = materialize(similarity.remove_near_duplicates(exact, similarity.similar_pairs(exact, key, "text", threshold), key), "near")
+    near = materialize(similarity.remove_near_duplicates(exact, similarity.similar_pairs(exact, key, "text", threshold, similarity.NEAR_CHARS), key), "near")
     seen = similarity.cross_near_duplicates(near, reference, key, "text", threshold).where("flagged").select(key)
     kept = materialize(assign_splits(near.join(seen, key, "left_anti").drop("split").withColumn("original_label", F.col("label")), key=key), "kept")
     counts = None
@@ -104,7 +104,7 @@ def renormalize(df: DataFrame, drop: tuple[str, ...] = (), key: str = "pos", thr
     # One pass over all splits: the split is part of the key, so nothing is compared across them.
     within = F.concat_ws("|", "split", tx.dedup_key(F.col("text")))
     exact = materialize(dedup.deduplicate(kept, key=within), "exact")
-    pairs = similarity.similar_pairs(exact, key, "text", threshold)
+    pairs = similarity.similar_pairs(exact, key, "text", threshold, similarity.NEAR_CHARS)
     side = exact.select(F.col(key), F.col("split"))
     same = pairs.join(side.select(F.col(key).alias("i"), F.col("split").alias("si")), "i").join(side.select(F.col(key).alias("j"), F.col("split").alias("sj")), "j").where("si = sj")
     near = materialize(similarity.remove_near_duplicates(exact, materialize(same.select("i", "j", "sim"), "pairs"), key), "near")

@@ -24,7 +24,7 @@ def run_preprocessing(rows: DataFrame, holdout: DataFrame | None = None, thresho
     clean = materialize(clean.where("trim(text) <> ''").withColumn("id", tx.make_id(F.col("text"))), "cleaned")
     steps = [("input", rows), ("cleaned", clean)]
     exact = materialize(dedup.deduplicate(clean).drop("dedup_key"), "exact")
-    near = materialize(similarity.remove_near_duplicates(exact, materialize(similarity.similar_pairs(exact, key, "text", threshold), "pairs"), key), "near")
+    near = materialize(similarity.remove_near_duplicates(exact, materialize(similarity.similar_pairs(exact, key, "text", threshold, similarity.NEAR_CHARS), "pairs"), key), "near")
     steps += [("exact", exact), ("near", near)]
     kept = near
     if holdout is not None:
