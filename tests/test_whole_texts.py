@@ -33,3 +33,8 @@ def by_sql(name: str, d: str, table: str = "documents") -> list[tuple]:
 def test_similar_pairs_reads_whole_texts(spark, documents):
     got = sorted(map(tuple, entry.queries()["similar_pairs"](spark, documents).collect()))
     assert [r[:2] for r in got] == [(3, 4), (5, 6)] and got == by_sql("similar_pairs", documents)
+
+
+def test_sensitivity_reads_whole_texts(spark, documents):
+    got = sorted(map(tuple, entry.queries()["sensitivity"](spark, documents).collect()))
+    assert got == [(0.8, 2, 2), (0.9, 1, 1), (0.95, 1, 1)] and got == by_sql("sensitivity", documents)
