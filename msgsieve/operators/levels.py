@@ -85,7 +85,7 @@ def new_source(raw: DataFrame, reference: DataFrame, key: str = "pos", threshold
     clean = materialize(clean, "cleaned")
     exact = materialize(dedup.deduplicate(clean), "exact")
     near = materialize(similarity.remove_near_duplicates(exact, similarity.similar_pairs(exact, key, "text", threshold, similarity.NEAR_CHARS), key), "near")
-    seen = similarity.cross_near_duplicates(near, reference, key, "text", threshold).where("flagged").select(key)
+    seen = similarity.cross_near_duplicates(near, reference, key, "text", threshold, chars=similarity.NEAR_CHARS).where("flagged").select(key)
     kept = materialize(assign_splits(near.join(seen, key, "left_anti").drop("split").withColumn("original_label", F.col("label")), key=key), "kept")
     counts = None
     for step, part in (("cleaned", clean), ("exact", exact), ("near", near), ("kept", kept)):

@@ -28,7 +28,7 @@ def run_preprocessing(rows: DataFrame, holdout: DataFrame | None = None, thresho
     steps += [("exact", exact), ("near", near)]
     kept = near
     if holdout is not None:
-        seen = similarity.cross_near_duplicates(near, holdout, key, "text", threshold).where("flagged").select(key)
+        seen = similarity.cross_near_duplicates(near, holdout, key, "text", threshold, chars=similarity.NEAR_CHARS).where("flagged").select(key)
         kept = materialize(near.join(seen, key, "left_anti"), "kept")
     steps.append(("holdout", kept))
     parts = splits.stratified_split(splits.strata(kept), seed, key).drop("stratum")

@@ -38,3 +38,19 @@ def test_similar_pairs_reads_whole_texts(spark, documents):
 def test_sensitivity_reads_whole_texts(spark, documents):
     got = sorted(map(tuple, entry.queries()["sensitivity"](spark, documents).collect()))
     assert got == [(0.8, 2, 2), (0.9, 1, 1), (0.95, 1, 1)] and got == by_sql("sensitivity", documents)
+
+
+@pytest.fixture(scope="module")
+def messages(tmp_path_factory):
+    """Rows 1 to 7: two of train and one of test share a head alone, two of train and one of test all but the last words, and one has no split."""
+    d = tmp_path_factory.mktemp("messages")
+    texts = [f"{words(1)} {words(i)}" for i in (2, 3, 4)] + [f"{words(7)} {w}" for w in ("once", "twice", "thrice")] + [f"{words(1)} {words(9)}"]
+    rows = pd.DataFrame({"pos": range(1, 8), "text": texts, "text_raw": texts, "split": ["train", "train", "test", "train", "train", "test", None]})
+    same = {"id": "x", "label": "safe", "scam_type": "none", "language": "en", "source": "s", "is_synthetic": False, "generator": "g", "subtype": "other"}
+    rows.assign(**same, urls=[[]] * 7).to_parquet(d / "combined.parquet")
+    pd.DataFrame({"row_id": ["-"], "action": ["keep"]}).to_parquet(d / "audit_decisions.parquet")
+    return str(d)
+
+
+def test_trim_cross_split_reads_whole_texts(spark, messages):
+    assert dict(map(tuple, entry.queries()["trim_cross_split"](spark, messages).collect())) == {"train": 4, "test": 1}
