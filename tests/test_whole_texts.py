@@ -60,3 +60,8 @@ def test_level_normalized_reads_whole_texts(spark, messages):
     rows = entry.queries()["level_normalized"](spark, messages).where("rows > 0").collect()
     # Inside train one of two goes, across the splits that of test; the heads alone take none, of the row that gets a split either.
     assert sum(r["rows"] for r in rows) == 5 and sum(r["rows"] for r in rows if r["split"] == "test") >= 1
+
+
+def test_preprocess_reads_whole_texts(spark, messages):
+    steps = dict(map(tuple, entry.queries()["preprocess"](spark, messages).collect()))
+    assert steps == {"input": 6, "cleaned": 6, "exact": 6, "near": 4, "holdout": 4, "trimmed": 4}
