@@ -65,3 +65,13 @@ def test_level_normalized_reads_whole_texts(spark, messages):
 def test_preprocess_reads_whole_texts(spark, messages):
     steps = dict(map(tuple, entry.queries()["preprocess"](spark, messages).collect()))
     assert steps == {"input": 6, "cleaned": 6, "exact": 6, "near": 4, "holdout": 4, "trimmed": 4}
+
+
+def test_protocol_reads_whole_texts(spark, tmp_path):
+    """The word that tells scam from safe stands last."""
+    n = 48
+    texts = [f"{words(100 + i, 300)} {'prize' if i % 2 else 'lunch'}" for i in range(n)]
+    rows = pd.DataFrame({"pos": range(n), "text": texts, "label": ["safe", "scam"] * (n // 2), "split": [("train", "train", "val", "test")[i // 2 % 4] for i in range(n)]})
+    rows.assign(source="s", is_synthetic=False).to_parquet(tmp_path / "combined.parquet")
+    got = entry.queries()["protocol"](spark, str(tmp_path)).where("stage = 'test'").first()
+    assert got["n"] == 12 and got["roc_auc"] == 1.0
